@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +41,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that they need no installation."""
+    context = spark.sparkContext
+    if getattr(context, "_lacuna_shipped", False):
+        return
+    here = Path(__file__).parent
+    folder = Path(tempfile.mkdtemp(prefix="lacuna-"))  # on the driver, which serves the file from here for as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    shutil.copytree(here, folder / "tree" / here.name, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(folder / here.name), "zip", folder / "tree"))
+    context._lacuna_shipped = True
