@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, licenses, mixing, ngrams, quality, secrets, topk, urlrules
+from . import bpe, counts, licenses, mixing, ngrams, quality, secrets, suffixtree, topk, urlrules
 from .common import table
 
 URL_RULES = urlrules.parse([("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")])
@@ -24,6 +24,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_ngram_join, op5_mixing, op6_token_counts, op7_license_scan, op8_secret_scan, op9_url_filter, op10_topk)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_ngram_join, op4_lm_score, op5_mixing, op6_token_counts, op7_license_scan, op8_secret_scan, op9_url_filter, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
