@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 #: Bytes stand as the 256 characters from this code point on; none of them is white space or the space mark.
 FIRST = 0x100
@@ -147,7 +148,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*batch.schema.names, out_col])
 
-    return df.select(kept).mapInArrow(run, schema.add(out_col, "array<bigint>"))
+    return df.select(kept).mapInArrow(run, schema.add(out_col, ArrayType(LongType())))
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -162,7 +163,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str =
             out = [codec.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
 
-    return df.select(kept).mapInArrow(run, df.select(kept).schema.add(out_col, "binary"))
+    return df.select(kept).mapInArrow(run, df.select(kept).schema.add(out_col, BinaryType()))
 
 
 def digests(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from .common import buffers, mix, shingle_hashes, word_hashes
 from .graph import components
 
 #: Buckets of keys; entries of a bucket that are held before they are merged; n-grams of a chunk of a block.
-BUCKETS, HELD, CHUNK = 1024, 1 << 21, 1 << 22
+BUCKETS, HELD, CHUNK = 1024, 1 << 21, 1 << 20
 #: Candidate tables up to so many rows are sent to the texts, larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -339,7 +339,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     members = materialize(members, "ngram-members")
     sums = members.groupBy("block").agg(F.sum("n").alias("total"))
     count, total = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bins = max(1, -(-total // CHUNK) * 4)
+    bins = max(256, -(-total // CHUNK) * 4)
     placed = members.join(sums, "block").withColumn("chunks", F.ceil(F.col("total") / CHUNK).cast("int"))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("sid"), "chunks").cast("int")).select("id", "sid", "block", "chunk", "chunks")
     texts = docs.join(F.broadcast(placed) if count <= BROADCAST_ROWS else placed, "id")

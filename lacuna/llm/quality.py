@@ -106,6 +106,14 @@ def measure(df: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+
+
+def _kept() -> Column:
+    return ~_base_failed() & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOST)
+
+
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the measures, base_failed and kept for every row.
 
@@ -115,10 +123,15 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     byte for byte.
     """
     cells = measure(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    kept = ~failed & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOST)
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return cells.select(F.col("id").alias(id_col), *measures, failed.alias("base_failed"), kept.alias("kept"), "lost_chars")
+    return cells.select(F.col("id").alias(id_col), *measures, _base_failed().alias("base_failed"), _kept().alias("kept"), "lost_chars")
+
+
+def kept(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of df whose text is kept, with its columns, whatever their names; the cases are those of quality()."""
+    cells = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    # Not a filter: that would be pushed below the measures, with all of them written out in it again and again.
+    return measure(cells, "text").select(F.inline(F.when(_kept(), F.array("row"))))
 
 
 def clean(df: DataFrame, text_col: str = "text") -> DataFrame:
