@@ -28,7 +28,7 @@ from .common import buffers, mix, shingle_hashes, word_hashes
 from .graph import components
 
 #: Buckets of keys; entries of a bucket that are held before they are merged; n-grams of a chunk of a block.
-BUCKETS, HELD, CHUNK = 1024, 1 << 21, 1 << 20
+BUCKETS, HELD, CHUNK = 1024, 1 << 21, 1 << 21
 #: Candidate tables up to so many rows are sent to the texts, larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -50,6 +50,20 @@ def identity(grams: np.ndarray) -> int:
         return int(mix(np.array([total + np.uint64(len(grams)) * np.uint64(0x9E3779B97F4A7C15)], np.uint64)).view(np.int64)[0])
 
 
+def node_of(sid: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The identity of a set at a level, as a signed 64-bit number."""
+    with np.errstate(over="ignore"):
+        return mix(sid.astype(np.int64).view(np.uint64) + (level.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
+
+
+def levels_of(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Sets x 2: the level of each set's size and the one below; -1 where the set can only link with its equals."""
+    first, differ, *_ = levels(percent)
+    own = np.searchsorted(first, sizes, side="right") - 1
+    both = np.stack([own, own - 1], axis=1)
+    return np.where((both >= 0) & (sizes[:, None] > 0) & (differ[np.maximum(both, 0)] > 0), both, -1)
+
+
 @lru_cache(maxsize=8)
 def levels(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First size, allowed difference, parts and least useful part size of each level of sizes.
@@ -79,21 +93,19 @@ def levels(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return first[:-1], differ, np.array(parts, np.int64), np.array(least, np.int64)
 
 
-def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sets' parts, at each set's level and the level below, and which set each belongs to."""
-    first, differ, parts, least = levels(percent)
+def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the sets' parts at both of their levels, and which set and which level each belongs to."""
+    _, differ, parts, least = levels(percent)
     sizes = np.array([len(s) for s in sets], np.int64)
-    own = np.searchsorted(first, sizes, side="right") - 1
+    both = levels_of(sizes, percent) if sets else np.empty((0, 2), np.int64)
     grams = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    keys, owners = [], []
+    keys, owners, at_level = [], [], []
     for below in (0, 1):
-        level = own - below
-        live = (level >= 0) & (sizes > 0)
-        live[live] = differ[level[live]] > 0  # else only equal sets link, and these are one class already
+        live = both[:, below] >= 0
         which = np.flatnonzero(live)
         if not len(which):
             continue
-        level = level[which]
+        level = both[which, below]
         k = parts[level]
         offset = np.concatenate([[0], np.cumsum(k)])
         mask = np.repeat(live, sizes)
@@ -114,9 +126,10 @@ def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
             seed = mix((level[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
             keys.append(mix(low + (high << np.uint64(32)) + seed)[take])
             owners.append(which[owner[take]])
+            at_level.append(level[owner[take]])
     if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(at_level)
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,14 +146,17 @@ def _slices(batch: pa.RecordBatch, size: int = 8 << 20):
         at = to
 
 
-def _describe(width: int):
+def _describe(width: int, percent: int):
     def run(batches):
         for whole in batches:
             for batch in _slices(whole):
                 sets = sets_of(batch.column(1), width)
                 sizes = [len(s) for s in sets]
-                sids = [identity(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64())], names=["id", "n", "sid"])
+                sids = [identity(s) if len(s) else 0 for s in sets]
+                both = levels_of(np.array(sizes, np.int64), percent)
+                nodes = [pa.array(node_of(np.array(sids, np.int64), both[:, k]), mask=both[:, k] < 0) for k in (0, 1)]
+                sid = pa.array(np.array(sids, np.int64), mask=np.array(sizes) == 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), sid, *nodes], names=["id", "n", "sid", "node0", "node1"])
 
     return run
 
@@ -171,9 +187,9 @@ def _keys(width: int, percent: int):
                         seen.add(sid)
                         sets.append(s)
                         sids.append(sid)
-                keys, owner = part_keys(sets, percent)
+                keys, owner, level = part_keys(sets, percent)
                 if len(keys):
-                    held.append((keys, np.array(sids, np.int64)[owner]))
+                    held.append((keys, node_of(np.array(sids, np.int64)[owner], level)))
                     n += len(keys)
                 if n >= HELD:
                     yield flush()
@@ -331,19 +347,21 @@ def _sets(width: int):
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Classes (id, n, sid of every row) and links (a, b: sids): a forest that spans every component of linked sets."""
     docs = _documents(df, id_col, text_col)
-    classes = materialize(docs.mapInArrow(_describe(width), "id long, n long, sid long"), "ngram-classes")
+    classes = materialize(docs.mapInArrow(_describe(width, percent), "id long, n long, sid long, node0 long, node1 long"), "ngram-classes")
     packed = docs.mapInArrow(_keys(width, percent), "bucket int, packed binary")
     stars = packed.repartition("bucket").select("packed").mapInArrow(_stars, "a long, b long").distinct()
-    blocks = components(stars, "ngram-blocks").select(F.col("node").alias("sid"), F.col("root").alias("block"))
-    members = classes.where("id is not null").groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n")).join(blocks, "sid")
+    blocks = components(stars, "ngram-blocks").select("node", F.col("root").alias("block"))
+    sets = classes.where("id is not null").groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("node0").alias("node0"), F.max("node1").alias("node1"))
+    members = sets.withColumn("node", F.explode(F.array("node0", "node1"))).join(blocks, "node").select("id", "sid", "n", "block")
     members = materialize(members, "ngram-members")
-    sums = members.groupBy("block").agg(F.sum("n").alias("total"))
-    count, total = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bins = max(256, -(-total // CHUNK) * 4)
-    placed = members.join(sums, "block").withColumn("chunks", F.ceil(F.col("total") / CHUNK).cast("int"))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("sid"), "chunks").cast("int")).select("id", "sid", "block", "chunk", "chunks")
-    texts = docs.join(F.broadcast(placed) if count <= BROADCAST_ROWS else placed, "id")
-    grams = texts.mapInArrow(_sets(width), "id long, sid long, block long, chunk int, chunks int, grams binary").drop("id")
+    sums = members.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).where("rows > 1")
+    bins = max(256, -(-members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // CHUNK) * 4)
+    chunk = F.pmod(F.xxhash64("sid"), "chunks").cast("int")
+    placed = members.join(sums, "block").withColumn("chunks", F.ceil(F.col("total") / CHUNK).cast("int")).withColumn("chunk", chunk)
+    placed = materialize(placed.groupBy("id", "sid").agg(F.collect_list(F.struct("block", "chunk", "chunks")).alias("spots")), "ngram-placed")
+    texts = docs.join(F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed, "id")
+    spot = "array<struct<block:bigint,chunk:int,chunks:int>>"
+    grams = texts.mapInArrow(_sets(width), f"id long, sid long, spots {spot}, grams binary").select("sid", "grams", F.inline("spots"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     spread = grams.withColumn("other", other).select(
         "sid", "block", "chunk", "grams", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"),
