@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Blocks of a source that are dealt as wholes; bins of a block in each of the two further steps to the end of a pass.
+#: Blocks of a source that are dealt as wholes; bins of the block in which a pass ends.
 BLOCKS, BINS = 64, 1024
 #: Depth of the splitting tree: 2 ** LEVELS output shards.
 LEVELS = 4
@@ -72,7 +72,7 @@ def plan(cells: DataFrame, most: float = 2.0) -> DataFrame:
     ``cells`` has key, source, size and place of every row. The cut is the last place whose running size stays within
     what the whole passes leave, found in three steps, each over sums of a fixed number of bins per source.
     """
-    bins = cells.groupBy("key", _bin(F.col("place"), 1).alias("bin")).agg(F.sum("size").alias("size"), F.min("source").alias("source"))
+    bins = cells.groupBy("key", _bin(F.col("place"), 0).alias("bin")).agg(F.sum("size").alias("size"), F.min("source").alias("source"))
     bins = materialize(bins, "mix-bins")
     sources = bins.groupBy("key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
     sources = targets(sources, most=most)
@@ -88,13 +88,13 @@ def plan(cells: DataFrame, most: float = 2.0) -> DataFrame:
         return materialize(first.select("key", F.col("x.bin").alias("edge"), F.col("x.left").alias("rest")), name)
 
     edges = boundary(bins, sources.select("key", "rest"), "mix-edge1")
-    inside = cells.join(edges.select("key", "edge"), "key").where(_bin(F.col("place"), 1) == F.col("edge"))
-    finer = inside.groupBy("key", _bin(F.col("place"), 2).alias("bin")).agg(F.sum("size").alias("size"))
+    inside = cells.join(edges.select("key", "edge"), "key").where(_bin(F.col("place"), 0) == F.col("edge"))
+    finer = inside.groupBy("key", _bin(F.col("place"), 1).alias("bin")).agg(F.sum("size").alias("size"))
     edges2 = boundary(finer, edges.select("key", "rest"), "mix-edge2")
-    last = cells.join(edges2, "key").where(_bin(F.col("place"), 2) == F.col("edge"))
+    last = cells.join(edges2, "key").where(_bin(F.col("place"), 1) == F.col("edge"))
     run = F.sum("size").over(Window.partitionBy("key").orderBy("place"))
     ends = last.withColumn("run", run).where(F.col("run") <= F.col("rest")).groupBy("key").agg(F.max("place").alias("end"), F.max("run").alias("run"))
-    shift = 62 - (BLOCKS.bit_length() - 1) - 2 * (BINS.bit_length() - 1)
+    shift = 62 - (BLOCKS.bit_length() - 1) - (BINS.bit_length() - 1)
     found = edges2.join(ends, "key", "left").select("key", F.coalesce("end", F.shiftleft("edge", shift) - 1).alias("cut"), (F.col("rest") - F.coalesce("run", F.lit(0))).alias("gap"))
     # Every source with something left over has an edge: its sizes exceed the rest. The largest row after the cut that
     # still fits closes most of the gap before it.
