@@ -28,7 +28,7 @@ from .common import buffers, mix, shingle_hashes, word_hashes
 from .graph import components
 
 #: Buckets of keys; entries of a bucket that are held before they are merged; n-grams of a chunk of a block.
-BUCKETS, HELD, CHUNK = 1024, 1 << 21, 1 << 21
+BUCKETS, HELD, CHUNK = 1024, 1 << 20, 1 << 20
 #: Candidate tables up to so many rows are sent to the texts, larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -136,7 +136,7 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-def _slices(batch: pa.RecordBatch, size: int = 8 << 20):
+def _slices(batch: pa.RecordBatch, size: int = 4 << 20):
     """Parts of a batch with about so many bytes of text."""
     lengths = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(batch.schema.get_field_index("text"))], np.int64)
     run, at = np.cumsum(lengths), 0
@@ -240,47 +240,31 @@ def _stars(batches):
         yield merge()
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 def link_block(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[int]:
     """The smallest linked row of each row of a block's incidence, by links of at least ``percent``.
 
     With ``side`` (0 or 1 for each row) only pairs of rows on different sides are multiplied.
     """
     n = len(sets)
-    union = _Union(n)
+    label = np.arange(n)
     sizes = np.array([len(s) for s in sets], np.int64)
     grams, column = np.unique(np.concatenate(sets), return_inverse=True)
     frequency = np.bincount(column)
     # Columns in order of frequency: a row's first ones are its rarest.
-    rank = np.empty(len(grams), np.int64)
-    rank[np.argsort(frequency, kind="stable")] = np.arange(len(grams))
+    rank = np.empty(len(grams), np.int32)
+    rank[np.argsort(frequency, kind="stable")] = np.arange(len(grams), dtype=np.int32)
     column = rank[column]
     frequency = np.sort(frequency, kind="stable")
     ends = np.cumsum(sizes)
-    rows = [np.sort(column[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    rows = [column[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
     # Any link of a row needs an overlap of percent % of its size, so it shares one of the first size - needed + 1.
     heads = []
     for r, s in zip(rows, sizes.tolist(), strict=True):
+        r.sort()
         h = r[: s - -(-percent * s // 100) + 1]
         heads.append(h[frequency[h] > 1])
     flat = np.concatenate(heads)
-    owner = np.repeat(np.arange(n), [len(h) for h in heads])
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(h) for h in heads])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     mark = np.zeros(len(grams), bool)
@@ -289,37 +273,39 @@ def link_block(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
         if not len(h):
             continue
         lo, hi = np.searchsorted(flat, h), np.searchsorted(flat, h, side="right")
-        others = np.unique(np.concatenate([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
-        others = others[others > row]
+        others = np.concatenate([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+        # Later rows that are not connected yet, on the other side, of a size that allows the link.
+        others = others[(others > row) & (label[others] != label[row])]
         if side is not None:
             others = others[side[others] != side[row]]
         size = sizes[row]
-        others = others[(100 * np.minimum(size, sizes[others]) >= percent * np.maximum(size, sizes[others]))]
-        if len(others):
-            mine = union.find(row)
-            others = [o for o in others.tolist() if union.find(o) != mine]
+        others = np.unique(others[100 * np.minimum(size, sizes[others]) >= percent * np.maximum(size, sizes[others])])
         if not len(others):
             continue
         mark[rows[row]] = True
-        lengths = sizes[others]
-        hits = mark[np.concatenate([rows[o] for o in others])]
-        overlap = np.add.reduceat(hits.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+        for at in range(0, len(others), 1024):
+            part = others[at : at + 1024]
+            lengths = sizes[part]
+            hits = mark[np.concatenate([rows[o] for o in part.tolist()])]
+            overlap = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(lengths)[:-1]]), dtype=np.int64)
+            linked = part[100 * overlap >= percent * (size + lengths - overlap)]
+            if len(linked):
+                joined = np.unique(np.concatenate([label[linked], label[row : row + 1]]))
+                label[np.isin(label, joined)] = joined[0]
         mark[rows[row]] = False
-        for o in np.array(others)[100 * overlap >= percent * (size + lengths - overlap)].tolist():
-            union.join(row, o)
-    return [union.find(x) for x in range(n)]
+    return label.tolist()
 
 
 def _multiply(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("block", "ascending"), ("sid", "ascending")])
-        blocks = table["block"].to_numpy()
-        sids, chunk, ci, cj = (table[c].to_numpy() for c in ("sid", "chunk", "ci", "cj"))
-        packed = table["grams"].combine_chunks() if table.num_rows else table["grams"]
+        blocks, sids, chunk, ci, cj = (table[c].to_numpy() for c in ("block", "sid", "chunk", "ci", "cj"))
+        order = np.lexsort((sids, blocks))
+        blocks, sids, chunk, ci, cj = (x[order] for x in (blocks, sids, chunk, ci, cj))
+        packed = [x for part in table["grams"].chunks for x in part]
         a, b = [], []
         cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
         for lo, hi in zip(cuts, cuts[1:]):
-            sets = [np.frombuffer(packed[k].as_buffer(), np.uint64) for k in range(lo, hi)]
+            sets = [np.frombuffer(packed[k].as_buffer(), np.uint64) for k in order[lo:hi].tolist()]
             cross = ci[lo] != cj[lo]
             for k, root in enumerate(link_block(sets, percent, (chunk[lo:hi] == cj[lo]).astype(int) if cross else None)):
                 if root != k:
