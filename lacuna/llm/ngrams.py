@@ -28,7 +28,7 @@ from .common import buffers, mix, shingle_hashes, word_hashes
 from .graph import components
 
 #: Buckets of keys; entries of a bucket that are held before they are merged; n-grams of a chunk of a block.
-BUCKETS, HELD, CHUNK = 1024, 1 << 20, 1 << 20
+BUCKETS, HELD, CHUNK = 1024, 1 << 18, 1 << 20
 #: Candidate tables up to so many rows are sent to the texts, larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -136,7 +136,7 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-def _slices(batch: pa.RecordBatch, size: int = 4 << 20):
+def _slices(batch: pa.RecordBatch, size: int = 1 << 20):
     """Parts of a batch with about so many bytes of text."""
     lengths = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(batch.schema.get_field_index("text"))], np.int64)
     run, at = np.cumsum(lengths), 0
