@@ -322,6 +322,13 @@ def oracle_sql() -> dict[str, str]:
     mail_extra = "length(regexp_replace(mail || phone, '[^0-9a-zA-Z]', '', 'g'))"
     place_at = lambda k: " + ".join(["0", *(f"length({p[0]})" for p in D.PIECES[:k])])
     firsts = (("private_person", "A.________", place_at(5)), ("private_company", "B.________", place_at(11)), ("residence", "U.________", f"{place_at(7)} + length(street || ' ' || house || ', ' || zip || ' ')"), ("residence", "V.________", place_at(13)))
+    split = "CASE WHEN list_reduce(list_prepend(0, list_transform(string_split(sha256(CAST(doc_id AS VARCHAR)), ''), lambda c: instr('0123456789abcdef', c) - 1)), lambda a, c: (a * 16 + c) % 7) = 0 THEN 'dev' ELSE 'test' END AS split"
+    # By source and severity; by type, label and action the entities and mentions of a decision.
+    risks = (("leftover", "high", 7), ("leftover", "medium", 2), ("pattern", "high", 4), ("cross-instance", "medium", 1))
+    people = (
+        ("court_official", "", "keep", 2, 2), ("private_person", "A.________", "pseudonymize", 1, 3), ("address", "[…]", "remove", 1, 1), ("lawyer", "", "keep", 1, 1), ("private_company", "B.________", "pseudonymize", 1, 1),
+        ("residence", "U.________", "pseudonymize", 1, 1), ("residence", "V.________", "pseudonymize", 1, 1), ("authority", "", "keep", 1, 1), ("authority_address", "", "keep", 1, 1), ("identifier", "[…]", "remove", 2, 2),
+    )
     kinds = {"A": "person", "B": "company", "U": "person", "V": "place"}
     return {
         "scan_docs_lang": "SELECT lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang",
@@ -350,7 +357,10 @@ def oracle_sql() -> dict[str, str]:
         "score_rollup": f"WITH n AS (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey) SELECT scope, CAST(CASE WHEN own THEN n ELSE 0 END AS BIGINT) AS cases, CAST(1 AS DOUBLE) AS recall, CAST(own AS INT) + 0.0::DOUBLE AS zero_leak_cases, 0.0::DOUBLE AS over_redaction, CAST(own AS INT) + 0.0::DOUBLE AS consistency, CAST(0 AS BIGINT) AS label_collisions, CAST(CASE WHEN own THEN {gold} * n ELSE 0 END AS BIGINT) AS gold_mentions, CAST(CASE WHEN own THEN {kept_n} * n ELSE 0 END AS BIGINT) AS keep_mentions FROM n, (VALUES ('all', true), ('de', true), ('fr', false), ('it', false)) v(scope, own)",
         "residence_cue_rule": f"SELECT {gold} * count(*) AS gold, {gold - 1} * count(*) AS leaked, count(*) AS recovered FROM orders JOIN customer ON o_custkey = c_custkey",
         "free_form_edits": "SELECT CAST(0 AS BIGINT) AS edits, CAST(0 AS BIGINT) AS decisions, CAST(0 AS BIGINT) AS decisions_with_digits",
-        "split_hash": "SELECT doc_id, CASE WHEN list_reduce(list_prepend(0, list_transform(string_split(sha256(CAST(doc_id AS VARCHAR)), ''), lambda c: instr('0123456789abcdef', c) - 1)), lambda a, c: (a * 16 + c) % 7) = 0 THEN 'dev' ELSE 'test' END AS split FROM documents",
+        "split_hash": f"SELECT doc_id, {split} FROM documents",
+        "generate_cases": base + f"SELECT doc_id, CAST({sum(1 for p in D.PIECES if p[1] and p[1] != 'address')} AS BIGINT) AS gold, true AS exact, {split} FROM b",
+        "audit_risks": base + " UNION ALL ".join(f"SELECT doc_id, '{x}' AS source, '{y}' AS severity, CAST({n} AS BIGINT) AS risks FROM b" for x, y, n in risks),
+        "entity_summary": base + " UNION ALL ".join(f"SELECT '{t}' AS type, '{x}' AS label, '{a}' AS action, {e} * count(*) AS entities, {m} * count(*) AS mentions FROM b" for t, x, a, e, m in people),
         "sample_per_language": "WITH r AS (SELECT doc_id, lang AS language, row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS turn FROM documents WHERE length(text) <= 15000 AND lang IN ('de', 'fr', 'it')) SELECT doc_id, language, CAST((list_position(['de', 'fr', 'it'], language) - 1) * 20 + turn AS BIGINT) AS place FROM r WHERE turn <= 20",
         "resume_anti_join": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "semi_join_report": "SELECT lang, count(*) AS docs FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang",
