@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 GOLD = "array<struct<start:int,end:int,text:string,entity:string,kind:string>>"
 KEEP = "array<struct<text:string,kind:string,count:int>>"
@@ -44,7 +45,7 @@ def read_sources(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(SOURCE).json(list(paths))
 
 
-def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_results(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Published results by id: rows without an id go, of several with one id the last file's stays."""
     rows = spark.read.schema(schema).json(path).withColumn("file", F.input_file_name()).where("id is not null")
     last = Window.partitionBy("id").orderBy(F.desc("file"))
