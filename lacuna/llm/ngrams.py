@@ -8,7 +8,7 @@
 3. Inside a block the incidence is multiplied row by row against an index of the rarest n-grams of each row: only rows
    that share one of them can reach the bound that the sizes set. Overlaps are accumulated for these, pairs below the
    bound are discarded, and rows that are connected already are passed over. Blocks above a size are cut into chunks,
-   and every pair of chunks is multiplied in a task of its own.
+   and every pair of chunks is multiplied in a task of its own, a chunk's inner pairs where it meets the next.
 
 No pair of documents is ever a row; keys travel as packed arrays, are met in a stream, and a key of any frequency
 takes one entry of memory.
@@ -240,10 +240,11 @@ def _stars(batches):
         yield merge()
 
 
-def link_block(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[int]:
+def link_block(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, within: tuple[bool, bool] = (True, True)) -> list[int]:
     """The smallest linked row of each row of a block's incidence, by links of at least ``percent``.
 
-    With ``side`` (0 or 1 for each row) only pairs of rows on different sides are multiplied.
+    With ``side`` (0 or 1 for each row) pairs of rows on different sides are multiplied, and those of one side if
+    ``within`` says so.
     """
     n = len(sets)
     label = np.arange(n)
@@ -276,7 +277,7 @@ def link_block(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
         others = np.concatenate([owner[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
         # Later rows that are not connected yet, on the other side, of a size that allows the link.
         others = others[(others > row) & (label[others] != label[row])]
-        if side is not None:
+        if side is not None and not within[side[row]]:
             others = others[side[others] != side[row]]
         size = sizes[row]
         others = np.unique(others[100 * np.minimum(size, sizes[others]) >= percent * np.maximum(size, sizes[others])])
@@ -298,16 +299,19 @@ def link_block(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
 
 def _multiply(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        blocks, sids, chunk, ci, cj = (table[c].to_numpy() for c in ("block", "sid", "chunk", "ci", "cj"))
-        order = np.lexsort((sids, blocks))
-        blocks, sids, chunk, ci, cj = (x[order] for x in (blocks, sids, chunk, ci, cj))
+        columns = [table[c].to_numpy() for c in ("block", "sid", "chunk", "chunks", "ci", "cj")]
+        order = np.lexsort((columns[1], columns[0]))
+        blocks, sids, chunk, chunks, ci, cj = (x[order] for x in columns)
         packed = [x for part in table["grams"].chunks for x in part]
         a, b = [], []
         cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
         for lo, hi in zip(cuts, cuts[1:]):
             sets = [np.frombuffer(packed[k].as_buffer(), np.uint64) for k in order[lo:hi].tolist()]
-            cross = ci[lo] != cj[lo]
-            for k, root in enumerate(link_block(sets, percent, (chunk[lo:hi] == cj[lo]).astype(int) if cross else None)):
+            first, second, count = int(ci[lo]), int(cj[lo]), int(chunks[lo])
+            side, within = None, (True, True)
+            if first != second:
+                side, within = (chunk[lo:hi] == second).astype(int), ((first + 1) % count == second, (second + 1) % count == first)
+            for k, root in enumerate(link_block(sets, percent, side, within)):
                 if root != k:
                     a.append(int(sids[lo + root]))
                     b.append(int(sids[lo + k]))
@@ -348,9 +352,11 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     texts = docs.join(F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed, "id")
     spot = "array<struct<block:bigint,chunk:int,chunks:int>>"
     grams = texts.mapInArrow(_sets(width), f"id long, sid long, spots {spot}, grams binary").select("sid", "grams", F.inline("spots"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    # A chunk meets every other one; its own pairs are multiplied where it meets the next, so it is sent nowhere else.
+    every = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: (k != F.col("chunk")) | (F.col("chunks") == 1))
+    other = F.explode(every)
     spread = grams.withColumn("other", other).select(
-        "sid", "block", "chunk", "grams", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"),
+        "sid", "block", "chunk", "chunks", "grams", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"),
         F.when(F.col("chunks") > 1, F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(bins))).alias("bin"),
         (F.col("chunks") > 1).alias("large"),
     )
