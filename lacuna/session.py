@@ -30,8 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lacuna-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        found = getattr(context, "_lacuna_shared", None) or "file://" + tempfile.mkdtemp(prefix="lacuna-")
+        context._lacuna_shared = found
     return found.rstrip("/")
 
 
