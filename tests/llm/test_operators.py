@@ -230,6 +230,23 @@ def test_lm_distribution_sums_to_one_and_learns(spark):
     assert held and sum(x.score for x in held) > 0.5 * sum(x.base_score for x in held)
 
 
+def test_lm_states_grow_and_reach_depth_three(spark):
+    r = random.Random(8)
+    found = []
+    for size in (60, 240):  # a word's share shrinks as their number grows, its count does not
+        rules = [(f"a{k}", f"b{k % 7}", f"c{k % 5}") for k in range(size)]
+        texts = [" ".join(f"{' '.join(rules[k])} d{k} x{r.randrange(9)}" for k in r.choices(range(size), k=60)) for _ in range(size)]
+        rows = suffixtree._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+        tree, total, *_ = suffixtree.fit(rows)
+        hashed = [common.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts]
+        s, _ = tree.alphabet.read(np.concatenate(hashed), np.array([len(h) for h in hashed]))
+        past, after = suffixtree.history(s, 3), s[1:]
+        real = after != suffixtree.START
+        _, kept = suffixtree.states(tree, past[:, real], after[real], np.ones(real.sum(), bool), total)
+        found.append((tree.alphabet.size, *kept))
+    assert found[1][0] > 3 * found[0][0] and found[1][1] > 3 * found[0][1] and found[1][3] > 3 * found[0][3] > 0
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
