@@ -8,6 +8,8 @@ lists are merged by rank. Every (query, candidate) pair is scored once: the resu
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +22,7 @@ BLOCK, QUERIES = 4096, 512
 #: Query blocks above so many bytes are joined by a shuffle instead of a broadcast.
 BROADCAST_BYTES = 64 << 20
 
-_PACKED = "n int, dims int, ids binary, weights binary"
+_PACKED = "n int, dims int, ids binary, weights binary, marks binary"
 
 
 def quantise(values: np.ndarray, scale: float) -> np.ndarray:
@@ -44,27 +46,28 @@ def _rows(batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray]]:
 
 
 def _packer(rows: int, scale: float):
+    """Blocks of rows that differ in id or weights, each with a hash of its weights."""
+
     def pack(batches):
-        ids: list[int] = []
-        vectors: list[np.ndarray] = []
+        held: dict[tuple[int, int], np.ndarray] = {}
 
-        def block(n: int) -> pa.RecordBatch:
-            dims = max(map(len, vectors[:n]), default=0)
+        def block() -> pa.RecordBatch:
+            n, dims = len(held), max(map(len, held.values()))
             matrix = np.zeros((n, dims), np.int64)
-            for k, v in enumerate(vectors[:n]):
-                matrix[k, : len(v)] = quantise(v, scale)
-            out = [[n], [dims], [np.array(ids[:n], np.int64).tobytes()], [matrix.T.tobytes()]]
-            del ids[:n], vectors[:n]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["n", "dims", "ids", "weights"])
+            for k, v in enumerate(held.values()):
+                matrix[k, : len(v)] = v
+            ids, marks = (np.array(x, np.int64).tobytes() for x in zip(*held, strict=True))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((n, dims, ids, matrix.T.tobytes(), marks), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["n", "dims", "ids", "weights", "marks"])
 
         for batch in batches:
-            more, x = _rows(batch)
-            ids += more
-            vectors += x
-            while len(ids) >= rows:
-                yield block(rows)
-        if ids:
-            yield block(len(ids))
+            for i, v in zip(*_rows(batch), strict=True):
+                v = np.trim_zeros(quantise(v, scale), "b")  # components that are missing are 0
+                held[i, int.from_bytes(blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True)] = v
+                if len(held) >= rows:
+                    yield block()
+        if held:
+            yield block()
 
     return pack
 
@@ -101,15 +104,16 @@ def _scorer(k: int):
         for batch in batches:
             for r in batch.to_pylist():
                 ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                marks, qmarks = np.frombuffer(r["marks"], np.int64), np.frombuffer(r["q_marks"], np.int64)
                 c = np.frombuffer(r["weights"], np.int64).reshape(r["dims"], r["n"])
                 q = np.frombuffer(r["q_weights"], np.int64).reshape(r["q_dims"], r["q_n"]).T
                 out: list[tuple[np.ndarray, ...]] = []
                 for at in range(0, len(qids), 64):  # 64 dense arrays of one block stay in cache
-                    for qid, s in zip(qids[at : at + 64], accumulate(np.ascontiguousarray(q[at : at + 64]), c), strict=True):
+                    for qid, qmark, s in zip(qids[at : at + 64], qmarks[at : at + 64], accumulate(np.ascontiguousarray(q[at : at + 64]), c), strict=True):
                         own = ids != qid
                         places = best(s[own], ids[own], k)
-                        out.append((np.full(len(places), qid), ids[own][places], s[own][places]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                        out.append((np.full(len(places), qid), ids[own][places], s[own][places], marks[own][places], np.full(len(places), qmark)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score", "mark", "q_mark"])
 
     return score
 
@@ -126,11 +130,11 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, id
     spark = df.sparkSession
     cells = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), queries.alias("asks"))
     asked = cells.where("asks").select("id", "v").dropDuplicates(["id", "v"]).coalesce(8).mapInArrow(_packer(QUERIES, scale), _PACKED)
-    asked = asked.select(F.xxhash64("ids", "weights").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "weights")))
+    asked = asked.select(F.xxhash64("ids", "weights").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "weights", "marks")))
     asked = materialize(asked, "topk-queries")
     (count, size) = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("q_weights") + F.length("q_ids")), F.lit(0))).first()
     packed = cells.select("id", "v").mapInArrow(_packer(BLOCK, scale), _PACKED)
-    schema = "query_id long, vec_id long, score long"
+    schema = "query_id long, vec_id long, score long, mark long, q_mark long"
     if not count:
         lists = spark.createDataFrame([], schema)
     else:
@@ -138,7 +142,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, id
         numbers = [r.q_block for r in asked.select("q_block").collect()]
         packed = packed.withColumn("q_block", F.explode(F.array(*map(F.lit, numbers))))
         pairs = packed.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "q_block")
-        lists = pairs.select("n", "dims", "ids", "weights", "q_n", "q_dims", "q_ids", "q_weights").mapInArrow(_scorer(k), schema)
+        lists = pairs.select("n", "dims", "ids", "weights", "marks", "q_n", "q_dims", "q_ids", "q_weights", "q_marks").mapInArrow(_scorer(k), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = lists.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = lists.dropDuplicates(["query_id", "vec_id", "score", "mark", "q_mark"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

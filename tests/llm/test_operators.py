@@ -373,3 +373,11 @@ def test_top_k(spark, monkeypatch, bound):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     few = topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 100 == 0).collect()
     assert sorted(x.rank for x in few) == [1, 2]
+
+
+def test_top_k_with_many_copies_of_the_best(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [9.0, 0.0])] * 25 + [(k, [float(k % 7), 1.0]) for k in range(2, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    scores = sorted({(-math.floor(1024 * v[0]) * 1024, i) for i, v in rows if i})
+    assert got == [(k, i, -s) for k, (s, i) in enumerate(scores[:10], 1)]
