@@ -4,10 +4,12 @@ Every row gets a fixed pseudo-random place in its source (a hash of its id); a s
 places, so any run of blocks is a random draw without replacement. A source's target is met by whole passes and a last
 pass that ends at one place. The blocks drawn are dealt to output shards by a splitting tree: at each node the exact
 quotas of all sources are halved by a random permutation of the node's tokens, which is a multivariate hypergeometric
-draw, and the shards then take disjoint runs of each source's permuted blocks.
+draw, and the shards then take disjoint runs of each source's permuted blocks. A row is taken once by every draw of its
+block (of the block in which a pass ends, only up to that place). Rows go to their shard and are ordered there by a hash.
 
 Only sizes per (source, block) are aggregated; rows are never shuffled by source, so a source may hold any share of
-them. The tables that meet the rows have at most a fixed number of rows per source.
+them, and a shard is dealt to tasks by ranges of its order. The tables that meet the rows have at most a fixed number of
+rows per source.
 """
 
 from __future__ import annotations
@@ -106,12 +108,14 @@ def plan(cells: DataFrame, most: float = 2.0) -> DataFrame:
     return out.select("key", "source_size", "target", "full", F.coalesce("cut", none).alias("cut"), F.coalesce("extra", none).alias("extra"))
 
 
-def _copies(place: Column, full: Column, cut: Column, extra: Column) -> Column:
-    return full + F.when((place <= cut) | (place == extra), 1).otherwise(0)
+def _taken(draws: Column, place: Column) -> Column:
+    """The draws of a row's block that take the row."""
+    return F.filter(F.coalesce(draws, F.array().cast("array<struct<pass:int,shard:int,cut:bigint,extra:bigint>>")), lambda d: (place <= d["cut"]) | (place == d["extra"]))
 
 
 def shards(plans: DataFrame) -> DataFrame:
-    """key, block, shards: the output shard of each pass over each drawn block, by the splitting tree.
+    """key, block, draws: of each pass over each drawn block the output shard, by the splitting tree, the last place taken
+    and the place of one more row.
 
     A source's tokens number its drawn blocks. At every node of the tree the tokens are permuted and the first half go
     left, so the left quotas are a multivariate hypergeometric draw from the node's; the leaves' quotas then take
@@ -131,8 +135,10 @@ def shards(plans: DataFrame) -> DataFrame:
         node = node.withColumn("node", F.col("node") * 2 + F.when(F.row_number().over(here) <= half, 0).otherwise(1))
     quotas = node.withColumn("token", F.row_number().over(Window.partitionBy("key").orderBy("node", "token")))
     dealt = units.join(quotas, ["key", "token"])
-    pairs = F.array_sort(F.collect_list(F.struct("pass", "node")))
-    return dealt.groupBy("key", "block").agg(pairs.alias("pairs")).select("key", "block", F.transform("pairs", lambda x: x.node).alias("shards"))
+    whole = F.col("pass") <= F.col("full")
+    end = F.when(whole, F.lit((1 << 62) - 1)).otherwise(F.col("cut")).alias("cut")
+    draw = F.struct(F.col("pass").cast("int").alias("pass"), F.col("node").cast("int").alias("shard"), end, F.when(whole, -1).otherwise(F.col("extra")).cast("long").alias("extra"))
+    return dealt.join(plans.select("key", "full", "cut", "extra"), "key").groupBy("key", "block").agg(F.array_sort(F.collect_list(draw)).alias("draws"))
 
 
 def _cells(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -155,16 +161,26 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     # One row per source, and BLOCKS rows per source: as files of known size these are broadcast while they are small.
     out = cells.join(plans, "key").withColumn("block", _block(F.col("place")))
     out = out.join(dealt, ["key", "block"], "left")
-    copies = _copies(F.col("place"), F.col("full"), F.col("cut"), F.col("extra"))
-    chosen = F.slice(F.coalesce("shards", F.array().cast("array<int>")), 1, copies)
+    chosen = F.transform(_taken(F.col("draws"), F.col("place")), lambda d: d["shard"])
+    copies = F.size(chosen)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), chosen.alias("shards"))
 
 
-def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of df as often as it is taken, with its columns; nothing of a text is shuffled."""
+def deal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """__shard and __order besides the columns of each row of df, as often as it is drawn: in the order of the shards, and
+    in each by a hash of the id, the pass and the text. Partitions are ranges of that order."""
     cells = materialize(_cells(df, id_col, text_col, source_col), "mix-cells")
-    plans = materialize(plan(cells), "mix-plan").select(F.col("key").alias("__key"), F.col("full").alias("__full"), F.col("cut").alias("__cut"), F.col("extra").alias("__extra"))
+    plans = materialize(plan(cells), "mix-plan")
+    dealt = materialize(shards(plans), "mix-shards").select(F.col("key").alias("__key"), F.col("block").alias("__block"), F.col("draws").alias("__draws"))
     key = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col)))
-    out = df.withColumn("__key", key).join(plans, "__key")
-    copies = _copies(_place(F.col(id_col)), F.col("__full"), F.col("__cut"), F.col("__extra"))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in df.columns))
+    place = _place(F.col(id_col))
+    out = df.withColumn("__key", key).withColumn("__block", _block(place)).join(dealt, ["__key", "__block"])
+    out = out.withColumn("__draw", F.explode(_taken(F.col("__draws"), place)))
+    order = F.xxhash64(F.lit(SEED + 100), F.col(id_col), F.col("__draw.pass"), F.col(text_col))
+    out = out.select(*(F.col(f"`{c}`") for c in df.columns), F.col("__draw.shard").alias("__shard"), order.alias("__order"))
+    return out.repartitionByRange("__shard", "__order").sortWithinPartitions("__shard", "__order")
+
+
+def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of df as often as it is drawn, with its columns, in its shards and their order."""
+    return deal(df, id_col, text_col, source_col).drop("__shard", "__order")

@@ -291,6 +291,18 @@ def test_mixing_quotas_are_balanced(spark):
     assert len(n) == 16 and max(n) < 1.5 * min(n)
 
 
+def test_mixing_carries_rows_to_shards(spark):
+    rows = [(k, "w " * (1 + k % 7), "abc"[k % 3]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    dealt = [(r["__shard"], r["__order"], r.doc_id) for r in mixing.deal(df).collect()]
+    assert dealt == sorted(dealt) and len({x[0] for x in dealt}) == 16
+    planned = collections.Counter((x, r.doc_id) for r in mixing.mix(df).collect() for x in r.shards)
+    assert collections.Counter((x, i) for x, _, i in dealt) == planned
+    assert [r.doc_id for r in mixing.apply_mix(df.repartition(5)).collect()] == [i for *_, i in dealt]
+    ids = [i for x, _, i in dealt if x == dealt[0][0]]
+    assert ids != sorted(ids)
+
+
 def test_licenses(docs, spark, rows, empty):
     got = licenses.license_scan(docs).collect()
     assert len(got) == len(rows)
