@@ -18,6 +18,7 @@ SENTENCES = {
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-is": "released under the bsd license",
     "cc-by-is": "licensed under cc by 4 0",
     "cc-by-nc-is": "licensed under cc by nc 4 0",
@@ -38,10 +39,19 @@ SENTENCES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
+#: Other wordings of known sentences, in normal form, as the official notices have them.
+VARIANTS = {
+    "licensed under the apache license version 2 0 the license": "apache-2-is",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-2-as-is",
+    "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "neither the name of copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+}
+
 #: Rules in the order in which they are tried; the first whose sequence stands at a place wins there.
 RULES = (
     ("MIT", ("mit-grant", "mit-notice")),
     ("Apache-2.0", ("apache-2-is", "apache-2-file", "apache-2-copy", "apache-2-as-is")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
     ("GPL-3.0-or-later", ("gpl-free",)),
@@ -65,6 +75,10 @@ RULES = (
 
 _OTHER = re.compile(r"[^0-9a-z]+")
 _END = re.compile(r"(?<=[.!?;:])(?=\s)|\n[^\S\n]*\n")
+#: Marks inside a known sentence: what they cut may go on in the next piece.
+_GOES_ON = re.compile(r"(?:[;:]|\bv\.)\Z", re.IGNORECASE)
+#: Pieces of one sentence at most.
+PIECES = 3
 _LINE_END = re.compile(r"(?<=[.!?;:])(?=\s)|\n")
 
 
@@ -97,14 +111,17 @@ def check_rules(sentences: dict[str, str], rules) -> str:
 
 class Recognizer:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules=RULES):
-        self.ids = {s: i for i, s in sentences.items()}
+        known = {s: i for i, s in sentences.items()}
+        self.ids = known | {s: i for s, i in VARIANTS.items() if i in sentences and s not in known}
         self.rules = rules
-        self.anchor = re.compile(check_rules(sentences, rules), re.IGNORECASE)
-        self.longest = 3 * max(map(len, sentences.values())) + 200
+        anchors = check_rules(sentences | {f"{i} {k}": s for k, (s, i) in enumerate(self.ids.items())}, rules)
+        self.anchor = re.compile(anchors, re.IGNORECASE)
+        self.longest = 3 * max(map(len, self.ids)) + 200
 
     def sentences(self, text: str) -> list[tuple[int, str]]:
         """(place, identifier) of every known sentence, in order. A sentence ends at a mark before white space and at an
-        empty line; a line's end closes one too if what it closes is known."""
+        empty line; a line's end closes one too if what it closes is known. Pieces cut at a mark that known sentences have
+        inside are also read together."""
         anchors = [m.start() for m in self.anchor.finditer(text)]
         if not anchors:
             return []
@@ -112,14 +129,20 @@ class Recognizer:
         for cut in (_LINE_END, _END):
             at, k = 0, 0
             ends = [(m.start(), m.end()) for m in cut.finditer(text)] + [(len(text), len(text))]
+            begins: list[int] = []  # of pieces that lead up to this one by marks inside a sentence
             for end, after in ends:
                 while k < len(anchors) and anchors[k] < at:
                     k += 1
-                if k < len(anchors) and anchors[k] < end and end - at <= self.longest:
-                    name = self.ids.get(normalise(text[at:end]))
+                begins = [*begins[1 - PIECES :], at]
+                for begin in begins:  # the longest first
+                    if end - begin > self.longest or not (k < len(anchors) and anchors[k] < end or begin < at and self.anchor.search(text, begin, at)):
+                        continue
+                    name = self.ids.get(normalise(text[begin:end]))
                     if name:
-                        start = at + len(text[at:end]) - len(text[at:end].lstrip())
-                        found.setdefault(start, name)
+                        found.setdefault(begin + len(text[begin:end]) - len(text[begin:end].lstrip()), name)
+                        break
+                if after > end or not _GOES_ON.search(text, max(at, end - 3), end):
+                    begins = []
                 at = after
         return sorted(found.items())
 

@@ -319,6 +319,63 @@ def test_licenses(docs, spark, rows, empty):
         licenses.check_rules({"a": "some known words"}, [("X", ("b",))])
 
 
+NOTICES = {
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "Apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+}
+
+
+def test_licenses_of_standard_notices():
+    scan = licenses.Recognizer()
+    two = NOTICES["BSD-3-Clause"].split("3. Neither")[0]
+    for name, text in (NOTICES | {"BSD-2-Clause": two}).items():
+        ids = [i for _, i in scan.sentences(text)]
+        assert scan.licenses(ids) == [name], ids
+    assert [i for _, i in scan.sentences(NOTICES["GPL-3.0-or-later"])] == ["gpl-free", "gpl-hope"]
+    assert len(scan.sentences(NOTICES["Apache-2.0"])) == 4
+    for sentence, name in scan.ids.items():  # every sentence and wording as it stands
+        assert [i for _, i in scan.sentences(f"Text.\n\n{sentence.capitalize()}.\n")] == [name]
+    assert scan.sentences("Released under the.\n\nMIT License.") == []
+
+
 def test_secrets(docs, rows, empty):
     forest = secrets.trained()
     held = secrets.labelled(2000, 77)
