@@ -58,8 +58,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
     taken = sorted(spans.items())
     at = k = 0
     while m := _DIGIT.search(text, at):
-        lo = max(at, m.start() - 4096)
-        start = lo + _BEFORE.search(text[lo : m.start()]).start() if m.start() > lo else m.start()
+        start = lo = m.start()
+        while start == lo > at:  # as far as the run goes, a stretch at a time
+            lo = max(at, start - 4096)
+            start = lo + _BEFORE.search(text[lo:start]).start()
         end = _AFTER.match(text, m.start()).end()
         at = end
         while k < len(taken) and taken[k][1] <= start:

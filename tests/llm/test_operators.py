@@ -400,6 +400,12 @@ def test_secret_candidates_of_odd_texts():
     assert [("token = \"abc1234567890\"")[s:e] for s, e in secrets.candidates("token = \"abc1234567890\"")] == ["abc1234567890"]
 
 
+def test_secret_candidates_begin_far_before_their_first_digit():
+    for n in (4095, 4096, 4097, 5000, 8192, 20_000):
+        text = "a " + "x" * n + "1" + "y" * 20
+        assert secrets.candidates(text) == [(2, len(text))]
+
+
 URLS = [
     "http://a.org/x", "https://Example.ORG/es/1", "http://m.example.org/en/1?x#y", "http://m.example.org/en/2", "http://b.com/fr/x", "http://com/de/", "http://xcom/de/", "http://b.com/de?q", "no scheme", None, "", "http://", "x://org", "a://b://c.org/q", "http://b.com:80/de/", "http://u@b.com/de/#f",
 ]
