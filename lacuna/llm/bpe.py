@@ -11,18 +11,21 @@ import base64
 import hashlib
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
+
+from .common import by_size, positional, trimmed
 
 #: Bytes stand as the 256 characters from this code point on; none of them is white space or the space mark.
 FIRST = 0x100
 #: Distinct pre-tokens a worker remembers; beyond them it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: White space and the like as one class: the Unicode property, whatever a regex library's own \s holds.
 _SPACE = r"\t-\r\x20\x85\xA0  -     　"
 
@@ -81,12 +84,16 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.cut = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")).findall
         self.tokens: list[bytes] = sorted(ranks, key=ranks.__getitem__)
-        self.memory: dict[str, tuple[bytes, int]] = {}
+        self.memory: dict[str, bytes] = {}
 
     def _learn(self, fresh: list[str]) -> None:
-        mapped = [_chars(x.encode()) for x in fresh]
-        for x, ids in zip(fresh, self.model.encode(mapped, num_threads=1), strict=True):
-            self.memory[x] = ((np.array(ids, "<u4") - np.uint32(1)).tobytes(), len(ids))
+        found = self.model.encode([_chars(x.encode()) for x in fresh], num_threads=1)
+        ends = np.cumsum([len(x) for x in found], dtype=np.int64) * 4
+        raw = (np.fromiter(chain.from_iterable(found), "<u4", ends[-1] // 4 if len(ends) else 0) - np.uint32(1)).tobytes()
+        at = 0
+        for x, end in zip(fresh, ends.tolist(), strict=True):
+            self.memory[x] = raw[at:end]
+            at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -97,7 +104,7 @@ class Codec:
             new = {p for x in cuts for p in x}
         self._learn(list(new))
         get = self.memory.__getitem__
-        return [np.frombuffer(b"".join([get(p)[0] for p in x]), "<u4") for x in cuts]
+        return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in cuts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -116,54 +123,62 @@ def _ship(df: DataFrame, path: str) -> str:
     return path.rpartition("/")[2]
 
 
-def _slices(column: pa.Array, rows: int = 64, size: int = 4 << 20):
-    """Parts of a batch's texts, of so many rows and about so many bytes, to bound what is held at once."""
-    part, held = [], 0
-    for t in column:
-        t = t.as_py() or ""
-        part.append(t)
-        held += len(t)
-        if len(part) == rows or held > size:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+def _texts(column: pa.Array):
+    """Parts of a column of texts with the place each begins at; nulls are empty."""
+    for at, to in by_size(column):
+        yield at, [t or "" for t in column.slice(at, to - at).to_pylist()]
+
+
+def _replaced(df: DataFrame, out_col: str) -> tuple[list[int], list[str]]:
+    """Places and names of the columns that stay beside a new one."""
+    places = [k for k, c in enumerate(df.columns) if c != out_col]
+    return places, [df.columns[k] for k in places] + [out_col]
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """df with the ids of each whole text as an array of long in ``out_col``, which replaces a column of that name.
 
     Defined cases: a null or empty text has no ids; a text may have any length; repeated rows are each encoded; an
-    empty table gives no rows; names of other columns don't matter.
+    empty table gives no rows; names of other columns don't matter, whatever they hold and however often they occur.
     """
     name = _ship(df, vocabulary)
-    kept = [c for c in df.columns if c != out_col]
-    schema = df.select(kept).schema
+    places, names = _replaced(df, out_col)
+    text = df.columns.index(text_col)
+    cells = positional(df)
 
     def run(batches):
         codec = _codec(SparkFiles.get(name), pattern)
         for batch in batches:
-            ids = [x.astype(np.int64) for part in _slices(batch.column(batch.schema.get_field_index(text_col))) for x in codec.encode(part)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*batch.schema.names, out_col])
+            for at, texts in _texts(batch.column(text)):
+                ids = codec.encode(texts)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+                flat = pa.array(np.concatenate(ids).astype(np.int64))
+                # A text of over 2 ** 31 ids would not fit one Arrow batch: it fails here instead of wrapping.
+                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int64()).cast(pa.int32()), flat)
+                part = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), column], names=[*(f"c{k}" for k in places), "ids"])
 
-    return df.select(kept).mapInArrow(run, schema.add(out_col, ArrayType(LongType())))
+    schema = StructType([cells.schema[k] for k in places]).add("ids", ArrayType(LongType()))
+    return cells.mapInArrow(trimmed(run), schema).toDF(*names)
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """df with the bytes of each row's ids in ``out_col``; null ids decode to no bytes."""
+    """df with the bytes of each row's ids in ``out_col``; null ids decode to no bytes; names of other columns don't matter."""
     name = _ship(df, vocabulary)
-    kept = [c for c in df.columns if c != out_col]
+    places, names = _replaced(df, out_col)
+    ids = df.columns.index(ids_col)
+    cells = positional(df)
 
     def run(batches):
         codec = _codec(SparkFiles.get(name), "")
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            out = [codec.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                out = [codec.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in part.column(ids)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), pa.array(out, pa.binary())], names=[*(f"c{k}" for k in places), "decoded"])
 
-    return df.select(kept).mapInArrow(run, df.select(kept).schema.add(out_col, BinaryType()))
+    schema = StructType([cells.schema[k] for k in places]).add("decoded", BinaryType())
+    return cells.mapInArrow(trimmed(run), schema).toDF(*names)
 
 
 def digests(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,12 +189,11 @@ def digests(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id"
     def run(batches):
         codec = _codec(SparkFiles.get(name), pattern)
         for batch in batches:
-            rows = []
-            for part in _slices(batch.column(1)):
-                for ids in codec.encode(part):
-                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for at, texts in _texts(batch.column(1)):
+                ids = codec.encode(texts)
+                cells = [pa.array([len(x) for x in ids], pa.int64())]
+                cells += [pa.array([hashlib.sha256(of(x)).hexdigest() for x in ids], pa.string()) for of in (np.ndarray.tobytes, codec.decode)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *cells], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,42 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1 and so on, so that no name of the user's can clash or needs quoting."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def by_size(column: pa.Array, size: int = 4 << 20, rows: int = 256) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch's rows with about so many bytes of text and at most so many rows, to bound what is held at once."""
+    _, offsets = buffers(column)
+    at = 0
+    while at < len(column):
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1))
+        yield at, to
+        at = to
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function over batches that gives the memory it has freed back to the system: workers are used again by later
+    tasks, and what one of them keeps is missing on the executor."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it trims by itself or not at all
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over unsigned 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))

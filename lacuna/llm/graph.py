@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
+
+#: A node with at least so many neighbours, or with this share of all ends of edges, is hot: at most SHARE nodes can be.
+HOT, SHARE = 1 << 10, 1 << 12
+
+
+def _hang(ends: DataFrame, least: DataFrame, bound: int, key: str) -> DataFrame:
+    """The rows of ``ends`` with m, the aggregate of their key; rows of hot keys meet it by broadcast and are not moved."""
+    hot = F.broadcast(least.where(F.col("d") >= bound).select(key, F.col("m").alias("hot")))
+    marked = ends.join(hot, key, "left")
+    cold = marked.where("hot is null").join(least.where(F.col("d") < bound).select(key, "m"), key)
+    return marked.where("hot is not null").select("a", "b", F.col("hot").alias("m")).union(cold.select("a", "b", "m"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -13,8 +24,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates large-star and small-star steps: every node's larger, then its smaller neighbours are hung on the
     smallest one, which halves the longest path in a pair of steps and ends with stars. The smallest neighbour is an
-    aggregate and is joined back, so that a node of any degree is spread over tasks. Each round is written to the
-    shared folder; nothing is collected but two sums.
+    aggregate that is joined back. Nodes with more neighbours than a share of all edges are at most SHARE in number, so
+    they are broadcast, and the rows of a hub stay where they are; the rows of any other node are fewer than that
+    share. Each round is written to the shared folder and the one before it deleted; only two sums reach the driver.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialize(edges, name)
@@ -24,12 +36,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if state == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
         before = state
+        bound = max(HOT, -(-2 * state[0] // SHARE))
         # Large star: larger neighbours meet the smallest of the node and its neighbours.
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        edges = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("d"))
+        large = _hang(both.where("b > a"), least, bound, "a")
+        large = large.select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # Small star: the node and its smaller neighbours meet the smallest of them.
-        least = edges.groupBy("b").agg(F.min("a").alias("m"))
-        hung = edges.join(least, "b")
-        edges = hung.select(F.col("m").alias("a"), "b").union(hung.select("m", "a")).where("a <> b").distinct()
-        edges = materialize(edges, name)
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("d"))
+        hung = _hang(large, least, bound, "b")
+        small = hung.select(F.col("m").alias("a"), "b").union(hung.select("m", "a")).where("a <> b").distinct()
+        old, edges = edges, materialize(small, name)
+        discard(old)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import positional
 
 #: Blocks of a source that are dealt as wholes; bins of the block in which a pass ends.
 BLOCKS, BINS = 64, 1024
@@ -143,8 +144,10 @@ def shards(plans: DataFrame) -> DataFrame:
 
 def _cells(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Rows with a source key that is never null, the size and the place."""
-    key = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col)))
-    return df.select(F.col(id_col).alias("id"), key.alias("key"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), _place(F.col(id_col)).alias("place"))
+    cells = positional(df)
+    at, text, source = (F.col(f"c{df.columns.index(c)}") for c in (id_col, text_col, source_col))
+    key = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
+    return cells.select(at.alias("id"), key.alias("key"), source.alias("source"), words(text).alias("size"), _place(at).alias("place"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -167,20 +170,25 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def deal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """__shard and __order besides the columns of each row of df, as often as it is drawn: in the order of the shards, and
-    in each by a hash of the id, the pass and the text. Partitions are ranges of that order."""
+    """The columns of each row of df as c0, c1 and so on, its shard and its order there, as often as it is drawn: in the order
+    of the shards, and in each by a hash of the id, the pass and the text. Partitions are ranges of that order."""
     cells = materialize(_cells(df, id_col, text_col, source_col), "mix-cells")
     plans = materialize(plan(cells), "mix-plan")
-    dealt = materialize(shards(plans), "mix-shards").select(F.col("key").alias("__key"), F.col("block").alias("__block"), F.col("draws").alias("__draws"))
-    key = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col)))
-    place = _place(F.col(id_col))
-    out = df.withColumn("__key", key).withColumn("__block", _block(place)).join(dealt, ["__key", "__block"])
-    out = out.withColumn("__draw", F.explode(_taken(F.col("__draws"), place)))
-    order = F.xxhash64(F.lit(SEED + 100), F.col(id_col), F.col("__draw.pass"), F.col(text_col))
-    out = out.select(*(F.col(f"`{c}`") for c in df.columns), F.col("__draw.shard").alias("__shard"), order.alias("__order"))
-    return out.repartitionByRange("__shard", "__order").sortWithinPartitions("__shard", "__order")
+    dealt = materialize(shards(plans), "mix-shards")
+    # By position: df may have columns of any names.
+    own = [f"c{k}" for k in range(len(df.columns))]
+    at, text, source = (F.col(f"c{df.columns.index(c)}") for c in (id_col, text_col, source_col))
+    key = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
+    out = positional(df).withColumn("key", key).withColumn("block", _block(_place(at))).join(dealt, ["key", "block"])
+    out = out.withColumn("draw", F.explode(_taken(F.col("draws"), _place(at))))
+    order = F.xxhash64(F.lit(SEED + 100), at, F.col("draw.pass"), text)
+    out = out.select(*own, F.col("draw.shard").alias("shard"), order.alias("order"))
+    return out.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order")
 
 
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of df as often as it is drawn, with its columns, in its shards and their order."""
-    return deal(df, id_col, text_col, source_col).drop("__shard", "__order")
+    """The mix itself: each row of df as often as it is drawn, with its columns, in its shards and their order.
+
+    The cases are those of mix(); columns of any names stay as they are.
+    """
+    return deal(df, id_col, text_col, source_col).drop("shard", "order").toDF(*df.columns)

@@ -3,8 +3,9 @@
 1. A document's set is the hashes of its word n-grams. Documents with equal sets form a class; one stands for all.
 2. Blocks. Two sets of sizes a <= b whose similarity reaches p % differ in at most (100 - p) (a + b) / (100 + p)
    n-grams. If the n-grams are dealt to more parts than that, some part is equal in both. Documents whose sizes allow
-   a link therefore share the key of a part, and the documents connected by shared keys form a block. Keys of parts
-   with few n-grams say little; they are used only by documents that have too few others for the bound to hold.
+   a link therefore share the key of a part, and the documents connected by shared keys form a block. Only parts with
+   enough n-grams give keys, as others say little: documents that have too few such parts for the bound to hold also
+   give each n-gram of their prefix, of which a linked pair of them shares one.
 3. Inside a block the incidence is multiplied row by row against an index of the rarest n-grams of each row: only rows
    that share one of them can reach the bound that the sizes set. Overlaps are accumulated for these, pairs below the
    bound are discarded, and rows that are connected already are passed over. Blocks above a size are cut into chunks,
@@ -16,19 +17,23 @@ takes one entry of memory.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import buffers, mix, shingle_hashes, word_hashes
+from ..session import discard, materialize
+from .common import buffers, mix, positional, shingle_hashes, trim, trimmed, word_hashes
 from .graph import components
 
-#: Buckets of keys; entries of a bucket that are held before they are merged; n-grams of a chunk of a block.
-BUCKETS, HELD, CHUNK = 1024, 1 << 18, 1 << 20
+#: Least number of buckets of keys, and n-grams of all texts to a bucket where there are more; entries that are held before
+#: they are packed or merged; n-grams of a chunk of a block.
+BUCKETS, BUCKET_GRAMS, HELD, CHUNK = 1 << 10, 1 << 21, 1 << 18, 1 << 20
+#: Classes with this share of all rows are hot: at most SHARE of them can be.
+HOT, SHARE = 1 << 12, 1 << 12
 #: Candidate tables up to so many rows are sent to the texts, larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -121,19 +126,39 @@ def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
             owner = np.repeat(np.arange(len(which)), k)
             useful = count >= least[level][owner]
             enough = np.bincount(owner, useful, len(which)) > differ[level]
-            take = useful | ~enough[owner]
             place = np.arange(offset[-1]) - offset[owner]
             seed = mix((level[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
-            keys.append(mix(low + (high << np.uint64(32)) + seed)[take])
-            owners.append(which[owner[take]])
-            at_level.append(level[owner[take]])
+            keys.append(mix(low + (high << np.uint64(32)) + seed)[useful])
+            owners.append(which[owner[useful]])
+            at_level.append(level[owner[useful]])
+            # Both of a pair have enough useful parts, or one has, which then share one, or neither: prefixes in the order of g.
+            few = ~enough[group]
+            if few.any():
+                g, of = g[few], group[few]
+                order = np.lexsort((g, of))
+                g, of = g[order], of[order]
+                start = np.searchsorted(of, of)
+                n = sizes[which[of]]
+                head = np.arange(len(of)) - start <= n - -(-percent * n // 100)
+                g, of = g[head], of[head]
+                keys.append(mix(g + mix(level[of].astype(np.uint64) + np.uint64(0x3C6EF372FE94F82B))))
+                owners.append(which[of])
+                at_level.append(level[of])
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(at_level)
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """id, text and row, a hash of all columns: rows that agree in id and row are copies of each other."""
+    cells = positional(df)
+    text, place = df.columns.index(text_col), df.columns.index(id_col)
+    return cells.select(F.col(f"c{place}").cast("long").alias("id"), F.col(f"c{text}").alias("text"), _row_hash(cells).alias("row"))
+
+
+def _row_hash(cells: DataFrame) -> Column:
+    """Of all columns but those of types that cannot be hashed."""
+    return F.xxhash64(*(c for c, f in zip(cells.columns, cells.schema, strict=True) if not re.search("map<|variant", f.dataType.simpleString())))
 
 
 def _slices(batch: pa.RecordBatch, size: int = 1 << 20):
@@ -156,12 +181,14 @@ def _describe(width: int, percent: int):
                 both = levels_of(np.array(sizes, np.int64), percent)
                 nodes = [pa.array(node_of(np.array(sids, np.int64), both[:, k]), mask=both[:, k] < 0) for k in (0, 1)]
                 sid = pa.array(np.array(sids, np.int64), mask=np.array(sizes) == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), sid, *nodes], names=["id", "n", "sid", "node0", "node1"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), sid, *nodes], names=["id", "row", "n", "sid", "node0", "node1"])
 
-    return run
+    return trimmed(run)
 
 
-def _keys(width: int, percent: int):
+def _keys(width: int, percent: int, buckets: int):
+    """Keys and nodes packed by bucket; ``buckets`` is a power of two."""
+
     def run(batches):
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -169,12 +196,12 @@ def _keys(width: int, percent: int):
 
         def flush():
             keys, sids = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (keys >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+            bucket = (keys >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             keys, sids, bucket = keys[order], sids[order], bucket[order]
-            ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-            full = np.flatnonzero(np.diff(ends))
-            packed = [keys[ends[b] : ends[b + 1]].tobytes() + sids[ends[b] : ends[b + 1]].tobytes() for b in full]
+            full, starts = np.unique(bucket, return_index=True)
+            ends = np.append(starts[1:], len(bucket))
+            packed = [keys[a:b].tobytes() + sids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
@@ -197,11 +224,13 @@ def _keys(width: int, percent: int):
         if n:
             yield flush()
 
-    return run
+    return trimmed(run)
 
 
 def _stars(batches):
-    """Edges from the first set seen with a key to each further one, over a stream of packed keys."""
+    """Edges from the first set seen with a key to each further one, over a stream of packed keys in order of their buckets;
+    only the keys of one bucket are held."""
+    bucket = None
     known, first = np.empty(0, np.uint64), np.empty(0, np.int64)
     held: list[bytes] = []
     size = 0
@@ -230,12 +259,15 @@ def _stars(batches):
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     for batch in batches:
-        for packed in batch.column(0):
+        for of, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if of != bucket or size >= HELD:
+                if held:
+                    yield merge()
+                    size = 0
+                if of != bucket:
+                    bucket, known, first = of, np.empty(0, np.uint64), np.empty(0, np.int64)
             held.append(packed.as_py())
             size += len(held[-1]) // 16
-            if size >= HELD:
-                yield merge()
-                size = 0
     if held:
         yield merge()
 
@@ -315,6 +347,8 @@ def _multiply(percent: int):
                 if root != k:
                     a.append(int(sids[lo + root]))
                     b.append(int(sids[lo + k]))
+        del packed, sets
+        trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -331,15 +365,19 @@ def _sets(width: int):
                 cells = [batch.column(batch.schema.get_field_index(n)) for n in names] + [pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cells, names=[*names, "grams"]).filter(keep)
 
-    return run
+    return trimmed(run)
 
 
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Classes (id, n, sid of every row) and links (a, b: sids): a forest that spans every component of linked sets."""
+    """Classes (id, row, n, sid of every row) and links (a, b: sids): a forest that spans every component of linked sets."""
     docs = _documents(df, id_col, text_col)
-    classes = materialize(docs.mapInArrow(_describe(width, percent), "id long, n long, sid long, node0 long, node1 long"), "ngram-classes")
-    packed = docs.mapInArrow(_keys(width, percent), "bucket int, packed binary")
-    stars = packed.repartition("bucket").select("packed").mapInArrow(_stars, "a long, b long").distinct()
+    classes = materialize(docs.mapInArrow(_describe(width, percent), "id long, row long, n long, sid long, node0 long, node1 long"), "ngram-classes")
+    # Keys grow with the n-grams, so do their buckets; the rows of a bucket come one after another.
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(BUCKETS, 1 << (total // BUCKET_GRAMS).bit_length())
+    packed = docs.select("id", "text").mapInArrow(_keys(width, percent, buckets), "bucket int, packed binary")
+    packed = packed.repartition("bucket") if buckets <= BUCKETS else packed.repartition(buckets // 4, "bucket")
+    stars = packed.sortWithinPartitions("bucket").mapInArrow(trimmed(_stars), "a long, b long").distinct()
     blocks = components(stars, "ngram-blocks").select("node", F.col("root").alias("block"))
     sets = classes.where("id is not null").groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("node0").alias("node0"), F.max("node1").alias("node1"))
     members = sets.withColumn("node", F.explode(F.array("node0", "node1"))).join(blocks, "node").select("id", "sid", "n", "block")
@@ -349,7 +387,9 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     chunk = F.pmod(F.xxhash64("sid"), "chunks").cast("int")
     placed = members.join(sums, "block").withColumn("chunks", F.ceil(F.col("total") / CHUNK).cast("int")).withColumn("chunk", chunk)
     placed = materialize(placed.groupBy("id", "sid").agg(F.collect_list(F.struct("block", "chunk", "chunks")).alias("spots")), "ngram-placed")
-    texts = docs.join(F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed, "id")
+    discard(members)
+    # A set stands in at most two blocks, so a row of the table has a fixed size.
+    texts = docs.select("id", "text").join(F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed, "id")
     spot = "array<struct<block:bigint,chunk:int,chunks:int>>"
     grams = texts.mapInArrow(_sets(width), f"id long, sid long, spots {spot}, grams binary").select("sid", "grams", F.inline("spots"))
     # A chunk meets every other one; its own pairs are multiplied where it meets the next, so it is sent nowhere else.
@@ -364,6 +404,23 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return classes, found
 
 
+def _joined_components(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Of every set: sid, rows (that have it), head (the least id and row of its component)."""
+    roots = components(found, "ngram-components").select(F.col("node").alias("sid"), "root")
+    least = classes.where("id is not null and sid is not null").groupBy("sid").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("rows"))
+    joined = materialize(least.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "ngram-roots")
+    # Per root a partial aggregate: a component of any size meets in one row per task. Most sets are their own component.
+    several = joined.where("root <> sid").select("root").distinct()
+    linked = joined.join(several, "root", "left_semi")
+    heads = linked.groupBy("root").agg(F.min("least").alias("head"))
+    alone = joined.join(several, "root", "left_anti").select("sid", "rows", F.col("least").alias("head"))
+    bound = max(HOT, -(-linked.count() // SHARE))
+    hot = F.broadcast(heads.join(linked.groupBy("root").count().where(F.col("count") >= bound).select("root"), "root").select("root", F.col("head").alias("hot")))
+    marked = linked.join(hot, "root", "left")
+    cold = marked.where("hot is null").join(heads, "root").select("sid", "rows", "head")
+    return alone.union(marked.where("hot is not null").select("sid", "rows", F.col("hot").alias("head"))).union(cold)
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles (the set's size), component_id (the smallest id reachable by links, the row's own included).
 
@@ -373,12 +430,39 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeat an id are each returned; texts are read whole; an empty table gives no rows; other columns are ignored.
     """
     classes, found = links(df, id_col, text_col, width, percent)
-    roots = components(found, "ngram-components").select(F.col("node").alias("sid"), "root")
-    least = classes.where("id is not null and sid is not null").groupBy("sid").agg(F.min("id").alias("least"))
-    joined = least.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    # Per root a partial aggregate: a component of any size meets in one sum per task.
-    heads = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(heads, "root").select("sid", "component_id")
-    out = classes.join(named, "sid", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    named = materialize(_joined_components(classes, found).select("sid", "rows", F.col("head.id").alias("component_id")), "ngram-named")
+    # A class of copies may hold any share of the rows. Those of a large one meet its name by broadcast (at most SHARE
+    # classes are large), rows without a set take no part, and only the rest is joined by a shuffle.
+    valid = (F.col("sid").isNotNull()) & F.col("id").isNotNull()
+    bound = max(HOT, -(-classes.count() // SHARE))
+    hot = F.broadcast(named.where(F.col("rows") >= bound).select("sid", F.col("component_id").alias("hot")))
+    marked = classes.join(hot, "sid", "left").select("id", "n", "sid", "hot")
+    rest = marked.where(valid & F.col("hot").isNull()).join(named.where(F.col("rows") < bound).select("sid", "component_id"), "sid")
+    other = marked.where(~valid | F.col("hot").isNotNull()).withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce(F.when(valid, F.col("hot")), "id")))
+    out = rest.select("id", "n", "component_id").union(other.select("id", "n", "component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df without near copies: of each component of linked rows the one with the smallest id stays.
+
+    Decided by row, not by id. Defined cases: of rows with one id and different texts each is judged by its own text; of
+    several rows of a component with its smallest id the one with the smallest hash of all columns stays, and one of
+    rows that agree in all columns; null, empty and blank texts link with nothing, so such rows all stay, repeated or
+    not; rows with null ids stay; texts are read whole; an empty table gives no rows; other columns may have any names.
+    """
+    classes, found = links(df, id_col, text_col, width, percent)
+    heads = materialize(_joined_components(classes, found).select(F.col("head.id").alias("id"), F.col("head.row").alias("row")).distinct(), "ngram-heads")
+    judged = classes.where("id is not null and sid is not null").groupBy("id", "row").agg(F.count("*").alias("rows"))
+    judged = judged.join(heads.withColumn("stays", F.lit(True)), ["id", "row"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
+    # Rows that go, and rows of which only one of several copies stays; all others are not touched.
+    judged = materialize(judged.where("not stays or rows > 1"), "ngram-judged")
+    cells = positional(df)
+    keyed = cells.withColumn("id", F.col(f"c{df.columns.index(id_col)}").cast("long")).withColumn("row", _row_hash(cells))
+    out = keyed.join(judged.select("id", "row"), ["id", "row"], "left_anti").select(*cells.columns)
+    copied = judged.where("stays").select("id", "row")
+    if not copied.isEmpty():
+        # Copies meet in one row per task before they are moved.
+        one = keyed.join(copied, ["id", "row"]).groupBy("id", "row").agg(F.first(F.struct(*cells.columns)).alias("x"))
+        out = out.union(one.select("x.*"))
+    return out.toDF(*df.columns)

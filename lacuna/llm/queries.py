@@ -63,25 +63,27 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def _op2_sql() -> str:
     bare = lambda e: rf"length(regexp_replace({e}, '[\x20\x09-\x0D]', '', 'g'))"
     symbols = lambda e: f"(length({e}) - length(regexp_replace({e}, '[#*$%&|<>]', '', 'g')))"
-    phrases = "|".join(quality.BOILERPLATE)
+    phrases = " OR ".join("contains(lower(l), '{}')".format(p.replace("'", "''")) for p in quality.BOILERPLATE)
     fails = (
-        f"(100 * {symbols('l')} > {quality.MAX_SYMBOLS} * {bare('l')}) OR (length(l) - length(replace(l, '|', '')) >= {quality.MIN_BARS}) "
+        f"(100 * {symbols('l')} > {quality.MAX_SYMBOLS} * {bare('l')}) OR (length(l) - length(regexp_replace(l, '[{quality.BARS}]', '', 'g')) >= {quality.MIN_BARS}) "
         f"OR ({bare('l')} >= {quality.MIN_LONG_LINE} AND NOT regexp_matches(l, '[.,;:!?…。！？]')) "
         f"OR (length(l) - length(replace(l, '!', '')) >= 3 AND 100 * (length(l) - length(regexp_replace(l, '\\p{{Lu}}', '', 'g'))) > {quality.MAX_CAPITALS} * {bare('l')}) "
-        f"OR regexp_matches(lower(l), '{phrases}')"
+        f"OR {phrases}"
     )
+    worded = r"regexp_matches({}, '[^\x20\x09-\x0D]')"
     return (
         f"WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
-        f"a AS (SELECT doc_id, t, {_WORDS.format(text='t')} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t), "
+        f"a AS (SELECT doc_id, t, {_WORDS.format(text='t')} AS w, string_split(t, chr(10)) AS every, list_filter(string_split(t, chr(10)), lambda x: {worded.format('x')}) AS lines FROM t), "
         "g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM a WHERE len(w) >= 3)), "
         "r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1), "
         "c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id), "
-        f"f AS (SELECT doc_id, sum(CASE WHEN {fails} THEN {bare('l')} ELSE 0 END) AS lost FROM (SELECT doc_id, unnest(lines) AS l FROM a) GROUP BY doc_id), "
+        f"l AS (SELECT doc_id, i, l, {worded.format('l')} AND ({fails}) AS bad FROM (SELECT doc_id, unnest(every) AS l, unnest(range(1, len(every) + 1)) AS i FROM a)), "
+        f"f AS (SELECT doc_id, count(*) FILTER (bad) AS n_failed_lines, sum(CASE WHEN bad THEN {bare('l')} ELSE 0 END) AS lost, md5(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT bad), '')) AS clean_md5 FROM l GROUP BY doc_id), "
         f"m AS (SELECT a.doc_id, len(w) AS n_words, CAST({bare('t')} AS BIGINT) AS word_chars, CAST({symbols('t')} AS BIGINT) AS n_symbols, "
-        "CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars "
+        "CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_failed_lines, CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars, clean_md5 "
         "FROM a LEFT JOIN c ON a.doc_id = c.doc_id LEFT JOIN f ON a.doc_id = f.doc_id) "
         "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, "
-        f"NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= {quality.MAX_LOST} * word_chars AS kept, lost_chars FROM m"
+        f"NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= {quality.MAX_LOST} * word_chars AS kept, n_failed_lines, lost_chars, clean_md5 FROM m"
     )
 
 

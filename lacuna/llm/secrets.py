@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_size, positional, trimmed
+
 #: Labelled findings that the forest is fitted on (half of them secrets), its size, and the vote from which a finding counts.
 FINDINGS, TREES, DEPTH, VOTE, SEED = 6000, 31, 9, 0.5, 11
 SHORTEST, LEFT = 8, 32
@@ -253,20 +255,19 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     def scan(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                texts = [t or "" for t in batch.column(1).slice(at, 512).to_pylist()]
-                ids = batch.column(0).slice(at, 512)
+            for at, to in by_size(batch.column(1)):
+                texts = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
                 owner, rows = [], []
                 for k, found in enumerate(scan_text(texts, forest)):
                     for s, e, vote in found:
-                        owner.append(k)
+                        owner.append(at + k)
                         vote = round(vote, 6)
                         rows.append((s, e, hashlib.sha256(texts[k][s:e].encode()).hexdigest(), vote, vote >= VOTE))
                 if rows:
                     cells = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), *cells], names=["id", "start", "end", "sha256", "vote", "is_secret"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *cells], names=["id", "start", "end", "sha256", "vote", "is_secret"])
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, start long, end long, sha256 string, vote double, is_secret boolean")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(scan), f"id {kind}, start long, end long, sha256 string, vote double, is_secret boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -277,20 +278,24 @@ def redact(df: DataFrame, text_col: str = "text", count_col: str | None = "n_cha
     """
     forest = forest or trained()
     place = df.columns.index(text_col)
+    cells = positional(df)
 
     def mask(batches):
         for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, 512):
-                texts = batch.column(place).slice(at, 512).to_pylist()
+            for at, to in by_size(batch.column(place)):
+                part, out = batch.slice(at, to - at), []
+                texts = part.column(place).to_pylist()
                 for text, found in zip(texts, scan_text([t or "" for t in texts], forest), strict=True):
-                    for s, e, vote in reversed(found):
+                    pieces, end = [], 0
+                    for s, e, vote in found:
                         if round(vote, 6) >= VOTE:
-                            text = text[:s] + MASK + text[e:]
-                    out.append(text)
-            yield batch.set_column(place, batch.schema.field(place), pa.array(out, batch.schema.field(place).type))
+                            pieces += [text[end:s], MASK]
+                            end = e
+                    out.append("".join([*pieces, text[end:]]) if end else text)
+                yield part.set_column(place, part.schema.field(place), pa.array(out, part.schema.field(place).type))
 
-    out = df.mapInArrow(mask, df.schema)
+    out = cells.mapInArrow(trimmed(mask), cells.schema)
     if count_col in df.columns:
-        out = out.withColumn(count_col, F.char_length(text_col).cast(df.schema[count_col].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns))
+        count = df.columns.index(count_col)
+        out = out.withColumn(f"c{count}", F.char_length(f"c{place}").cast(cells.schema[count].dataType))
+    return out.toDF(*df.columns)

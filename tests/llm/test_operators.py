@@ -131,8 +131,22 @@ def test_quality_lines(spark):
     lines = {"Plain words, with a mark.": False, "Home | About | News | More": True, "&&& ### word": True, "w " * 60: True, "BUYING!! NOTHING!! ALLOWED!!": True, "We use cookies here.": True, "short": False, "": False}
     df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("fails", quality._has_word(F.col("line")) & quality.line_fails(F.col("line")))
     assert {r.line: r.fails for r in df.collect()} == lines
-    whole = spark.createDataFrame([("A | b | c | d\nGood line.\n\nx",)], "text string")
-    assert quality.clean(whole).first().text == "Good line.\n\nx"
+    assert quality.MAX_LOST == 30
+
+
+def test_quality_removes_failing_lines(spark):
+    good = "\n".join(f"Line {k} has{k} words{k}, and{k} a mark{k} at{k} end." for k in range(20))
+    foreign = ["Alle Rechte vorbehalten.", "Nous utilisons des cookies.", "Todos los derechos reservados.", "Start » Produkte » Preise » Kontakt"]
+    texts = {1: good, 2: "A | b | c | d\n" + good.replace("Line 7 ", "\n\nLine 7 ") + "\nAll rights reserved.", 3: good + "\n" + "\n".join(foreign), 4: "A | b | c | d\n" * 40 + good}
+    schema = "doc_id long, text string, n_chars int, row string, `a.b` int, __n int, clean string"
+    df = spark.createDataFrame([(k, t, len(t), "r", 1, 2, "c") for k, t in texts.items()], schema)
+    got = {r.doc_id: r for r in quality.kept(df).collect()}
+    assert quality.kept(df).columns == df.columns and set(got) == {1, 2, 3}
+    assert [got[k].text for k in (1, 2, 3)] == [good, good.replace("Line 7 ", "\n\nLine 7 "), good]
+    assert all(r.n_chars == len(r.text) and tuple(r)[3:] == ("r", 1, 2, "c") for r in got.values())
+    judged = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert {k: r.n_failed_lines for k, r in judged.items()} == {1: 0, 2: 2, 3: 4, 4: 40}
+    assert judged[2].clean_md5 == hashlib.md5(got[2].text.encode()).hexdigest() and not judged[4].kept
 
 
 def brute_components(rows, width, percent):
@@ -196,6 +210,59 @@ def test_part_keys_meet_all_links():
                 assert {*zip(keys[owner == 0], level[owner == 0])} & {*zip(keys[owner == 1], level[owner == 1])}, (len(a), len(b), both)
 
 
+def test_unrelated_short_sets_share_no_key():
+    """Blocks of unrelated rows do not grow: sets of any small size that share no n-gram share no key."""
+    r = np.random.default_rng(4)
+    for percent in (80, 85):
+        for n in (1, 2, 5, 8, 11, 14, 20, 30):
+            sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for _ in range(2000)]
+            keys, owner, level = ngrams.part_keys(sets, percent)
+            _, times = np.unique(np.unique(np.stack([keys, owner.astype(np.uint64)], axis=1), axis=0)[:, 0], return_counts=True)
+            assert times.max(initial=1) == 1, (percent, n)
+
+
+def test_representatives_are_rows(spark):
+    r = random.Random(6)
+    prose = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(40))
+    x, y, u, v = prose(), prose(), prose(), prose()
+    rows = [(3, x, 1, 1), (5, x, 2, 1), (5, u, 3, 1), (7, y, 4, 1), (7, y, 4, 1), (7, y + " more", 5, 1), (9, v, 6, 1), (9, v, 6, 1), (None, x, 7, 1), (None, None, 8, 1), (4, None, 9, 1), (4, None, 9, 1), (4, "", 9, 1), (11, u, 3, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, `a.b` int").repartition(3)
+    out = ngrams.representatives(df)
+    got = sorted(map(tuple, out.collect()), key=str)
+    seven = [g for g in got if g[0] == 7]
+    assert len(seven) == 1 and seven[0] in rows
+    expected = [rows[0], rows[2], *seven, rows[6], *rows[8:13]]
+    assert out.columns == df.columns and got == sorted(expected, key=str)
+    assert ngrams.representatives(df.limit(0)).count() == 0
+
+
+def test_join_with_hot_classes_and_roots(spark, monkeypatch):
+    """Classes of copies, components and hubs above the bounds give what they give below them."""
+    r = random.Random(7)
+    base = [f"w{r.randrange(900)}" for _ in range(60)]
+    texts = [" ".join(base)] * 30 + [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(20)] + [" ".join(f"z{r.randrange(900)}" for _ in range(30)) for _ in range(10)] + [None] * 5
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for module in (ngrams, graph):
+        monkeypatch.setattr(module, "HOT", 4)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngrams.jaccard_components(df, width=4, percent=85).collect()}
+    assert got == brute_components(rows, 4, 85)
+    edges = [(0, k) for k in range(1, 60)] + [(100, k) for k in range(50, 120, 3)] + [(200 + k, 201 + k) for k in range(9)]
+    roots = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {x for k, x in roots.items() if k < 200} == {0, 52} - ({52} if roots[52] == 0 else set()) and {x for k, x in roots.items() if k >= 200} == {200}
+
+
+def test_columns_of_clashing_names(spark):
+    rows = [(k, f"{'word ' * 60}{k}.", "ab"[k % 2], 1, 2, 3, 4, 5) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __key int, __full int, __copy int, `a.b` int, draw int")
+    for out in (mixing.apply_mix(df), secrets.redact(df)):
+        assert out.columns == df.columns and all(tuple(r)[3:] == (1, 2, 3, 4, 5) for r in out.collect())
+    coded = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, out_col="a.b"), RANKS, "a.b", "draw")
+    assert coded.columns == ["doc_id", "text", "source", "__key", "__full", "__copy", "a.b", "draw"]
+    assert all(bytes(r.draw).decode() == r.text and tuple(r)[3:6] == (1, 2, 3) for r in coded.collect())
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (-5, 200), (200, 201), (201, -5)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -294,7 +361,7 @@ def test_mixing_quotas_are_balanced(spark):
 def test_mixing_carries_rows_to_shards(spark):
     rows = [(k, "w " * (1 + k % 7), "abc"[k % 3]) for k in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    dealt = [(r["__shard"], r["__order"], r.doc_id) for r in mixing.deal(df).collect()]
+    dealt = [(r["shard"], r["order"], r.c0) for r in mixing.deal(df).collect()]
     assert dealt == sorted(dealt) and len({x[0] for x in dealt}) == 16
     planned = collections.Counter((x, r.doc_id) for r in mixing.mix(df).collect() for x in r.shards)
     assert collections.Counter((x, i) for x, _, i in dealt) == planned
