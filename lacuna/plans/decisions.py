@@ -14,62 +14,62 @@ def _pick(values: str, number: str, n: int) -> str:
     return f"split_part('{values}', ',', CAST({number} % {n} AS INT) + 1)"
 
 
-#: Named parts of a decision.
+#: Named parts of a decision; all names are invented.
 PARTS = {
-    "given": _pick("Hans,Peter,Anna,Urs,Ruth,Beat,Lea,Reto", "o_custkey", 8),
-    "surname": _pick("Brunner,Widmer,Wyss,Suter,Studer,Hofer,Egli,Kunz,Gisler,Tanner,Isler", "o_custkey", 11),
-    "owner": _pick("Favre,Rochat,Bonvin,Perrin,Jaquet,Clerc,Ducret", "o_orderkey", 7),
-    "town": _pick("Dietikon,Uster,Thalwil,Olten,Baden,Sursee,Gossau", "o_custkey", 7),
-    "zip": _pick("8953,8610,8800,4600,5400,6210,9200", "o_custkey", 7),
-    "seat": _pick("Zofingen,Herisau,Stans", "o_orderkey", 3),
-    "street": _pick("Bahnhofstrasse,Dorfstrasse,Seestrasse,Lindenweg", "o_orderkey", 4),
-    "judge": _pick("Raselli,Chaix,Merkli", "o_orderkey", 3),
-    "clerk": _pick("Füllemann,Dold", "o_orderkey", 2),
-    "lawyer": _pick("Daniel Staffelbach,Xavier Haller", "o_orderkey", 2),
-    "mail": "'kunde' || CAST(o_custkey AS STRING) || '@post.example.ch'",
-    "phone": "'079 ' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || ' 45 67'",
-    "docket": "'VB.2019.' || lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')",
+    "given": _pick("Alwin,Berta,Cosima,Detlev,Edda,Fridolin,Gesine,Hulda", "o_custkey", 8),
+    "surname": _pick("Ahorner,Birkmann,Distler,Erlacher,Felber,Ginster,Holder,Iriser,Kressig,Lorbeer,Malvner", "o_custkey", 11),
+    "owner": _pick("Quarzner,Basalter,Gneiser,Schieferin,Marmorin,Tuffer,Granitz", "o_orderkey", 7),
+    "town": _pick("Ahorndorf,Birkenwil,Distelheim,Erlenthal,Farnbach,Ginsterau,Haselried", "o_custkey", 7),
+    "zip": _pick("4901,4902,4903,4904,4905,4906,4907", "o_custkey", 7),
+    "seat": _pick("Nussbergen,Oleandern,Pappelegg", "o_orderkey", 3),
+    "street": _pick("Amselgasse,Drosselweg,Finkenrain,Meisenstrasse", "o_orderkey", 4),
+    "judge": _pick("Falkner,Habichter,Milaner", "o_orderkey", 3),
+    "clerk": _pick("Reiherin,Storcher", "o_orderkey", 2),
+    "lawyer": _pick("Dorothea Kranichner,Xaver Schwaner", "o_orderkey", 2),
+    "mail": "'person' || CAST(o_custkey AS STRING) || '@brief.example.ch'",
+    "phone": "'079 ' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || ' 13 31'",
+    "docket": "'ZK.2031.' || lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')",
     "house": "CAST(o_orderkey % 90 + 1 AS STRING)",
 }
 _NL = "chr(10)"
-AUTHORITY, OFFICE = "Gesundheitsdirektion des Kantons Zürich", "Obstgartenstrasse 21, 8090 Zürich"
+AUTHORITY, OFFICE = "Finanzdirektion des Kantons Bern", "Mattenweg 14, 3011 Bern"
 
 #: (expression, gold kind, gold entity, federal replacement, Zurich replacement)
 PIECES = (
-    (f"'Besetzung' || {_NL} || 'Bundesrichter '", None, None, None, None),
+    (f"'Mitwirkend:' || {_NL} || 'Oberrichterin '", None, None, None, None),
     ("judge", None, None, None, "A."),
-    (f"', Präsident,' || {_NL} || 'Gerichtsschreiber '", None, None, None, None),
+    (f"', Vorsitz, und' || {_NL} || 'Gerichtsschreiberin '", None, None, None, None),
     ("clerk", None, None, None, "B"),
-    (f"'.' || {_NL} || 'Parteien' || {_NL}", None, None, None, None),
+    (f"'.' || {_NL} || 'Verfahrensbeteiligte' || {_NL}", None, None, None, None),
     ("given || ' ' || surname", "person", "A", "A.________", "C."),
     ("', '", None, None, None, None),
     ("street || ' ' || house || ', ' || zip || ' ' || town", "address", "A#address", "[…]", "[…]"),
-    (f"',' || {_NL} || 'Beschwerdeführer, vertreten durch Rechtsanwalt '", None, None, None, None),
+    (f"',' || {_NL} || 'Klägerin, vertreten durch Rechtsanwältin '", None, None, None, None),
     ("lawyer", None, None, None, "D."),
-    (f"',' || {_NL} || 'gegen' || {_NL}", None, None, None, None),
-    ("owner || ' Holzbau'", "company", "B", "B.________", "E."),
+    (f"',' || {_NL} || 'und' || {_NL}", None, None, None, None),
+    ("owner || ' Keramik'", "company", "B", "B.________", "E."),
     ("' AG, mit Sitz in '", None, None, None, None),
     ("seat", "place", "V", "V.________", "V."),
-    (f"',' || {_NL} || '{AUTHORITY}, {OFFICE},' || {_NL} || 'Gegenstand' || {_NL} || 'Beschwerde gegen das Urteil '", None, None, None, None),
+    (f"',' || {_NL} || '{AUTHORITY}, {OFFICE},' || {_NL} || 'Streitsache' || {_NL} || 'Klage gegen die Verfügung '", None, None, None, None),
     ("docket", None, None, None, None),
-    ("' des Bezirksgerichts '", None, None, None, None),
+    ("' der Gemeinde '", None, None, None, None),
     ("town", "place", "U", "U.________", "U"),
-    (f"'.' || {_NL}", None, None, None, None),
+    (f"'.' || {_NL} || 'Erwägungen: '", None, None, None, None),
     ("surname", "person", "A", "A.________", "C."),
-    ("' ist unter '", None, None, None, None),
+    ("' erreicht man unter '", None, None, None, None),
     ("mail", None, None, "[…]", "[…]"),
-    ("' und '", None, None, None, None),
+    ("' oder '", None, None, None, None),
     ("phone", None, None, "[…]", "[…]"),
-    ("' erreichbar. '", None, None, None, None),
+    ("' am Abend. '", None, None, None, None),
     ("surname || 's'", "person", "A", "A.________", "C."),
-    (f"' Einwand ist unbegründet.' || {_NL}", None, None, None, None),
+    (f"' Begehren dringt nicht durch.' || {_NL}", None, None, None, None),
 )
 
 #: Labelled mentions: (expression, type, role).
 MENTIONS = (
-    ("judge", "court_official", "judge"), ("clerk", "court_official", "clerk"), ("given || ' ' || surname", "private_person", "Beschwerdeführer"),
-    ("lawyer", "lawyer", "lawyer"), ("owner || ' Holzbau AG'", "private_company", "Beschwerdegegnerin"), ("town", "residence", ""), ("town", "place", ""),
-    ("seat", "residence", ""), (f"'{AUTHORITY}'", "authority", ""), ("surname", "private_person", "Beschwerdeführer"),
+    ("judge", "court_official", "judge"), ("clerk", "court_official", "clerk"), ("given || ' ' || surname", "private_person", "Klägerin"),
+    ("lawyer", "lawyer", "lawyer"), ("owner || ' Keramik AG'", "private_company", "Beklagte"), ("town", "residence", ""), ("town", "place", ""),
+    ("seat", "residence", ""), (f"'{AUTHORITY}'", "authority", ""), ("surname", "private_person", "Klägerin"),
 )
 
 
@@ -95,7 +95,8 @@ def base_sql() -> str:
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
-    rows = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    # A few numbers make a long text that is costly to read: the rows are spread before they grow, by the key of all that follows.
+    rows = orders.join(customers, orders.o_custkey == customers.c_custkey).repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     return rows.selectExpr("CAST(o_orderkey AS STRING) AS doc_id", *(f"{e} AS {n}" for n, e in PARTS.items()))
 
 

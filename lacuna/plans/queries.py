@@ -293,9 +293,9 @@ def _entities_sql() -> str:
     rows = [
         ("'court_official'", "judge", "'judge'", "'keep'", "'Art. 5 Abs. 1'"), ("'court_official'", "clerk", "'clerk'", "'keep'", "'Art. 5 Abs. 1'"),
         # Longest name first: the full name, then the initial with the surname unless that is as long, then the surname.
-        ("'private_person'", "given || ' ' || surname || '|' || substr(given, 1, 1) || '. ' || surname || '|' || surname", "'Beschwerdeführer|Beschwerdeführer'", "'pseudonymize'", "'Art. 1 Abs. 1'"),
+        ("'private_person'", "given || ' ' || surname || '|' || substr(given, 1, 1) || '. ' || surname || '|' || surname", "'Klägerin|Klägerin'", "'pseudonymize'", "'Art. 1 Abs. 1'"),
         ("'lawyer'", "lawyer || '|' || substr(lawyer, 1, 1) || '. ' || split_part(lawyer, ' ', 2) || '|' || split_part(lawyer, ' ', 2)", "'lawyer'", "'keep'", "'Art. 4 Abs. 1 lit. g'"),
-        ("'private_company'", "owner || ' Holzbau'", "'Beschwerdegegnerin'", "'pseudonymize'", "'Art. 1 Abs. 1'"),
+        ("'private_company'", "owner || ' Keramik'", "'Beklagte'", "'pseudonymize'", "'Art. 1 Abs. 1'"),
         ("'residence'", "town", "''", "'pseudonymize'", "'Art. 7 Abs. 1'"), ("'residence'", "seat", "''", "'pseudonymize'", "'Art. 7 Abs. 1'"),
         ("'authority'", _quoted(D.AUTHORITY), "''", "'keep'", "'Art. 4 Abs. 1 lit. a'"),
     ]
@@ -329,7 +329,7 @@ def oracle_sql() -> dict[str, str]:
         ("court_official", "", "keep", 2, 2), ("private_person", "A.________", "pseudonymize", 1, 3), ("address", "[…]", "remove", 1, 1), ("lawyer", "", "keep", 1, 1), ("private_company", "B.________", "pseudonymize", 1, 1),
         ("residence", "U.________", "pseudonymize", 1, 1), ("residence", "V.________", "pseudonymize", 1, 1), ("authority", "", "keep", 1, 1), ("authority_address", "", "keep", 1, 1), ("identifier", "[…]", "remove", 2, 2),
     )
-    kinds = {"A": "person", "B": "company", "U": "person", "V": "place"}
+    kinds = {"A": "person", "B": "company", "U": "place", "V": "place"}
     return {
         "scan_docs_lang": "SELECT lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang",
         "guess_language": _language_sql(),

@@ -1,5 +1,7 @@
 from types import SimpleNamespace
 
+import pytest
+
 from lacuna.session import materialize, shared_dir
 
 
@@ -10,6 +12,12 @@ def test_shared_folder_is_the_sessions_own(spark):
 
 
 def test_a_folder_of_our_own_where_it_is_unset():
-    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace())
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="local[2]"))
     first = shared_dir(session)
     assert first.startswith("file:///") and shared_dir(session) == first
+
+
+def test_a_cluster_needs_the_shared_folder():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="spark://driver:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(session)
