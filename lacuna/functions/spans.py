@@ -11,16 +11,33 @@ from .text import words
 SPAN = "struct<start:int,end:int,text:string>"
 
 
+#: A character that stands around matches while they are marked; no character of Unicode text has this code.
+_EDGE = "\uffff"
+
+
 def find(text: Column, pattern: Column | str, group: int | None = None) -> Column:
     """All matches, left to right: their offsets, and their text or that of a group.
 
     JVM offsets count UTF-16 units, so offsets are sums of the lengths of what lies between matches and of the matches.
+    The pattern runs once: matches are marked and the text is split at the marks. A text that has the mark itself is
+    searched and split by the pattern instead.
     """
     rx = F.lit(P.java(pattern)) if isinstance(pattern, str) else pattern
+    width = 2 if group is None else 3  # a gap, a match and its group
+    shown = "$0" + _EDGE if group is None else f"$0{_EDGE}${group}{_EDGE}"
+    parts = F.split(F.regexp_replace(text, rx, F.lit(_EDGE + shown)), F.lit(_EDGE), -1)
+
+    def triples(p: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(p) - 1, F.lit(width)), lambda k: k + 1 < F.size(p))
+        return F.transform(places, lambda k: F.struct(F.char_length(F.get(p, k)).alias("gap"), F.get(p, k + 1).alias("h"), F.get(p, k + width - 1).alias("s")))
+
+    # Bound to a variable of a function, the parts are computed once and not for each of them.
+    marked = F.get(F.transform(F.array(parts), triples), 0)
     hits = F.regexp_extract_all(text, rx, F.lit(0))
-    shown = hits if group is None else F.regexp_extract_all(text, rx, F.lit(group))
-    gaps = F.split(text, rx, -1)
-    pieces = F.zip_with(gaps, F.arrays_zip(hits.alias("h"), shown.alias("s")), lambda g, h: F.struct(F.char_length(g).alias("gap"), h["h"].alias("h"), h["s"].alias("s")))
+    own = hits if group is None else F.regexp_extract_all(text, rx, F.lit(group))
+    split = F.zip_with(F.split(text, rx, -1), F.arrays_zip(hits.alias("h"), own.alias("s")), lambda g, h: F.struct(F.char_length(g).alias("gap"), h["h"].alias("h"), h["s"].alias("s")))
+    split = F.filter(split, lambda x: x["h"].isNotNull())
+    pieces = F.when(F.contains(text, F.lit(_EDGE)), split).otherwise(marked)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -28,7 +45,7 @@ def find(text: Column, pattern: Column | str, group: int | None = None) -> Colum
         end = begin + F.char_length(x["h"])
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["s"].alias("text"))).alias("out"))
 
-    return F.aggregate(F.filter(pieces, lambda x: x["h"].isNotNull()), start, step, lambda acc: acc["out"])
+    return F.when(text.isNotNull(), F.aggregate(pieces, start, step, lambda acc: acc["out"]))
 
 
 def surface(name: Column, suffix: Column | str = "") -> Column:
