@@ -2,8 +2,11 @@
 
 Every component of a vector is a term and every vector a document with integer weights. Candidates are packed into
 blocks of postings (term -> rows and weights); a block of queries walks the terms one after another and scatters
-``query weight x postings`` into dense score arrays, from which each query's k best are selected by partition. Blocks'
-lists are merged by rank. Every (query, candidate) pair is scored once: the result is exact.
+``query weight x postings`` into dense score arrays, from which each query's k best are selected by partition. A task keeps
+each query's k best over all its blocks; the tasks' lists are merged by rank. Every (query, candidate) pair is scored once:
+the result is exact.
+
+Queries go to the tasks in rounds whose bytes are measured before they are sent, so candidates stay where they are.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import trimmed
 
 #: Rows of a candidate block and of a query block.
 BLOCK, QUERIES = 4096, 512
-#: Query blocks above so many bytes are joined by a shuffle instead of a broadcast.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of the queries that are sent to the tasks at once; more queries take more rounds.
+ROUND_BYTES = 64 << 20
 
 _PACKED = "n int, dims int, ids binary, weights binary, marks binary"
 
@@ -99,23 +103,50 @@ def accumulate(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _scorer(k: int):
+class Best:
+    """The k best candidates of each query of a block so far; candidates that agree in id and weights count once."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.lists: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * n
+        self.least = np.full(n, np.iinfo(np.int64).min)  # the score that a candidate must reach
+
+    def add(self, at: int, scores: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> None:
+        places = best(scores, ids, self.k)
+        new = (scores[places], ids[places], marks[places])
+        old = self.lists[at]
+        s, i, m = new if old is None else (np.concatenate(x) for x in zip(old, new, strict=True))
+        order = np.lexsort((m, i, ~s))
+        s, i, m = s[order], i[order], m[order]
+        fresh = np.ones(len(s), bool)
+        fresh[1:] = (i[1:] != i[:-1]) | (m[1:] != m[:-1])
+        self.lists[at] = s, i, m = s[fresh][: self.k], i[fresh][: self.k], m[fresh][: self.k]
+        if len(s) == self.k:
+            self.least[at] = s[-1]
+
+
+def _scorer(k: int, blocks):
+    """``blocks`` is a broadcast list of query blocks."""
+
     def score(batches):
+        queries = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["marks"], np.int64), np.ascontiguousarray(np.frombuffer(r["weights"], np.int64).reshape(r["dims"], r["n"]).T)) for r in blocks.value]
+        tops = [Best(len(ids), k) for ids, _, _ in queries]
         for batch in batches:
             for r in batch.to_pylist():
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                marks, qmarks = np.frombuffer(r["marks"], np.int64), np.frombuffer(r["q_marks"], np.int64)
+                ids, marks = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["marks"], np.int64)
                 c = np.frombuffer(r["weights"], np.int64).reshape(r["dims"], r["n"])
-                q = np.frombuffer(r["q_weights"], np.int64).reshape(r["q_dims"], r["q_n"]).T
-                out: list[tuple[np.ndarray, ...]] = []
-                for at in range(0, len(qids), 64):  # 64 dense arrays of one block stay in cache
-                    for qid, qmark, s in zip(qids[at : at + 64], qmarks[at : at + 64], accumulate(np.ascontiguousarray(q[at : at + 64]), c), strict=True):
-                        own = ids != qid
-                        places = best(s[own], ids[own], k)
-                        out.append((np.full(len(places), qid), ids[own][places], s[own][places], marks[own][places], np.full(len(places), qmark)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score", "mark", "q_mark"])
+                for (qids, _, q), top in zip(queries, tops, strict=True):
+                    for at in range(0, len(qids), 64):  # 64 dense arrays of one block stay in cache
+                        scores = accumulate(q[at : at + 64], c)
+                        for j in np.flatnonzero(scores.max(axis=1, initial=np.iinfo(np.int64).min) >= top.least[at : at + 64]).tolist():
+                            near = (scores[j] >= top.least[at + j]) & (ids != qids[at + j])
+                            top.add(at + j, scores[j][near], ids[near], marks[near])
+        for (qids, qmarks, _), top in zip(queries, tops, strict=True):
+            rows = [(np.full(len(x[0]), qids[j]), x[1], x[0], x[2], np.full(len(x[0]), qmarks[j])) for j, x in enumerate(top.lists) if x is not None]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["query_id", "vec_id", "score", "mark", "q_mark"])
 
-    return score
+    return trimmed(score)
 
 
 def top_k(df: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -129,20 +160,22 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, id
     """
     spark = df.sparkSession
     cells = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), queries.alias("asks"))
-    asked = cells.where("asks").select("id", "v").dropDuplicates(["id", "v"]).coalesce(8).mapInArrow(_packer(QUERIES, scale), _PACKED)
-    asked = asked.select(F.xxhash64("ids", "weights").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "weights", "marks")))
-    asked = materialize(asked, "topk-queries")
-    (count, size) = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("q_weights") + F.length("q_ids")), F.lit(0))).first()
+    asked = cells.where("asks").select("id", "v").dropDuplicates(["id", "v"]).mapInArrow(_packer(QUERIES, scale), _PACKED)
+    asked = materialize(asked.withColumn("block", F.xxhash64("ids", "weights")).withColumn("bytes", F.length("weights") + 2 * F.length("ids")), "topk-queries")
+    count, size = asked.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     packed = cells.select("id", "v").mapInArrow(_packer(BLOCK, scale), _PACKED)
     schema = "query_id long, vec_id long, score long, mark long, q_mark long"
-    if not count:
-        lists = spark.createDataFrame([], schema)
-    else:
-        # A stated query set in blocks: each candidate block meets each query block by its number.
-        numbers = [r.q_block for r in asked.select("q_block").collect()]
-        packed = packed.withColumn("q_block", F.explode(F.array(*map(F.lit, numbers))))
-        pairs = packed.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "q_block")
-        lists = pairs.select("n", "dims", "ids", "weights", "marks", "q_n", "q_dims", "q_ids", "q_weights", "q_marks").mapInArrow(_scorer(k), schema)
+    # Rounds by the hash of a block, more of them until none is too large; a block itself has a fixed number of rows.
+    rounds = 1 if size <= ROUND_BYTES else max(1, min(2 * -(-size // ROUND_BYTES), 4 * count))
+    number = lambda: F.pmod("block", F.lit(rounds))
+    while rounds > 1 and rounds < 4 * count and asked.groupBy(number()).agg(F.sum("bytes").alias("b")).agg(F.max("b")).first()[0] > ROUND_BYTES:
+        rounds *= 2
+    lists = spark.createDataFrame([], schema)
+    for k_round in range(rounds if count else 0):
+        blocks = asked.where(number() == k_round).select("n", "dims", "ids", "weights", "marks").toArrow().to_pylist()
+        if blocks:
+            found = packed.mapInArrow(_scorer(k, spark.sparkContext.broadcast(blocks)), schema)
+            lists = lists.union(materialize(found, "topk-lists") if rounds > 1 else found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lists.dropDuplicates(["query_id", "vec_id", "score", "mark", "q_mark"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -99,6 +99,15 @@ def test_token_counts_equal_library(docs, rows, empty):
     assert got == sorted((i, len((t or "").encode()), n := len(library.encode(t or "")), n > 500) for i, t, *_ in rows)
     assert counts.token_counts(empty, PIECES).count() == 0
     merger = counts.Merger(open(PIECES, "rb").read())
+    r = random.Random(3)
+    for n in (65, 300, 16_000):  # words beyond SHORT, in step by rank
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "日本中文 x", "aé😀1"):
+            word = "".join(r.choices(letters, k=n))
+            assert merger.count_all([word]) == [len(library.encode(word))], (n, letters)
+    word = "".join(r.choices("etaoinshrdlu", k=1_000_000))
+    assert merger.count_all([word, "a" * 100_000]) == [len(x) for x in library.encode([word, "a" * 100_000])]
+    with pytest.raises(ValueError):
+        counts.check_settings(b"")
     odd = ["aaaaaaaaaaaa" * 9, "   x   y ", "\n\n a\nb", "▁▁a▁", "日本語 ☃ \x00\x01"]
     assert merger.count_all(odd) == [len(x) for x in library.encode(odd)]
 
@@ -478,7 +487,7 @@ URLS = [
 ]
 
 
-def test_url_filter(spark, monkeypatch):
+def test_url_filter(spark):
     rules = urlrules.parse([("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")])
     df = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(URLS)] + [(0, URLS[0], "h", "r")], "page_id long, url string, host string, rule string")
     expected = {}
@@ -490,18 +499,31 @@ def test_url_filter(spark, monkeypatch):
         fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
         best = max(fits, key=lambda r: len(r[0]) + len(r[1]), default=None)
         expected[k] = (host, path, best and best[0] + best[1], best[2] if best else "allow")
-    for limit in (urlrules.BROADCAST_RULES, 1):
-        monkeypatch.setattr(urlrules, "BROADCAST_RULES", limit)
-        got = urlrules.url_filter(df, rules).collect()
-        assert len(got) == len(URLS) + 1 and {r.page_id: tuple(r)[1:] for r in got} == expected
+    got = urlrules.url_filter(df, rules).collect()
+    assert len(got) == len(URLS) + 1 and {r.page_id: tuple(r)[1:] for r in got} == expected
     assert urlrules.url_filter(df.limit(0), rules).count() == 0 and urlrules.url_filter(df, []).where("verdict <> 'allow'").count() == 0
 
 
-@pytest.mark.parametrize("bound", [topk.BROADCAST_BYTES, 0])
+def test_url_rules_of_any_number():
+    """Nested, repeated and empty rules among many against a plain search, which knows nothing of keys."""
+    r = random.Random(12)
+    label = lambda: "".join(r.choices("ab-", k=r.randint(1, 2)))
+    host = lambda: ".".join(label() for _ in range(r.randint(1, 4)))
+    path = lambda: "".join(r.choices("/xy", k=r.randint(0, 4)))
+    rules = [(host(), path(), r.choice(("allow", "block"))) for _ in range(4000)] + [("", "", "block"), ("", "/x", "block")]
+    pairs = [(host(), "/" + path()) for _ in range(1500)] + [("", "/x"), ("a.b.", "/"), (".", "/"), ("a..b", "/")]
+    got = urlrules.Rules(urlrules.rule_table(rules)).match(pairs)
+    for h, p in pairs:
+        fits = [x for x in rules if h and x[0] and (h == x[0] or h.endswith("." + x[0])) and p.startswith(x[1])]
+        assert got.get((h, p)) == max(fits, key=lambda x: (len(x[0]) + len(x[1]), len(x[0]), x), default=None), (h, p)
+    assert urlrules.Rules(urlrules.rule_table([])).match(pairs) == {}
+
+
+@pytest.mark.parametrize("bound", [topk.ROUND_BYTES, 1])
 def test_top_k(spark, monkeypatch, bound):
     monkeypatch.setattr(topk, "BLOCK", 50)
     monkeypatch.setattr(topk, "QUERIES", 3)
-    monkeypatch.setattr(topk, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(topk, "ROUND_BYTES", bound)
     r = np.random.default_rng(0)
     rows = [(int(k), [float(x) for x in r.normal(size=8).round(1)], 1) for k in range(230)]
     rows += [(300, [1.0, None, 2.0], 0), (400, None, 0), (500, [math.inf] + [0.0] * 7, 0), (600, [math.nan] * 8, 0), (700, [1.0, -1.0], 0), (800, [], 0), (None, [1.0] * 8, 0)]
