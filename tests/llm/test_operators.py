@@ -293,6 +293,71 @@ def test_lm_scores(docs, rows, empty):
     assert suffixtree.score(empty).count() == 0
 
 
+def brute_lm(rows):
+    """Scores by a tree that is grown context by context from the definition."""
+    low = {i: [w.lower() for w in words(t)] for i, t in rows}
+    train = [i for i, _ in rows if binascii.crc32(str(i).encode()) % 10]
+    n = collections.Counter(w for i in train for w in low[i])
+    ends, whole = len(train), sum(n.values()) + len(train)
+    often = {w for w, c in n.items() if c >= suffixtree.SYMBOL_COUNT}
+    kinds, norm = len(often) + (ends > 0), whole + 0.1 * (len(n) + 2)
+    root = {w: (n[w] + 0.1) / norm for w in often} | {"END": (ends + 0.1) / norm}
+    root["OTHER"] = (whole - ends - sum(n[w] for w in often) + 0.1 * (len(n) + 1 - kinds + 1)) / norm
+    read = {i: ["START", *(w if w in often else "OTHER" for w in ws), "END"] for i, ws in low.items()}
+    follow = collections.defaultdict(collections.Counter)
+    for i in train:
+        for k in range(1, len(read[i])):
+            for d in range(1, min(suffixtree.DEPTH, k) + 1):
+                follow[tuple(read[i][k - d : k])][read[i][k]] += 1
+    states = {}
+
+    def next_of(context, symbol):
+        if not context:
+            return root[symbol]
+        p = next_of(context[1:], symbol)
+        if not state(context):
+            return p
+        return (follow[context][symbol] + suffixtree.SMOOTHING * p) / (sum(follow[context].values()) + suffixtree.SMOOTHING)
+
+    def state(context):
+        if not context:
+            return True
+        if context not in states:
+            counts, total = follow[context], sum(follow[context].values())
+            fits = total >= suffixtree.CONTEXT_COUNT and state(context[1:])
+            gain = sum(c * math.log(c / total / next_of(context[1:], w)) for w, c in counts.items()) if fits else 0.0
+            states[context] = fits and gain > suffixtree.COST * math.log(whole) * len(counts) and gain > suffixtree.LEAST_GAIN * total
+        return states[context]
+
+    out = {}
+    for i, s in read.items():
+        total = 0.0
+        for k in range(1, len(s)):
+            total += math.log10(next_of(tuple(s[max(0, k - suffixtree.DEPTH) : k]), s[k]))
+            if s[k] == "OTHER":
+                total += math.log10((n[low[i][k - 1]] + 0.1) / norm / root["OTHER"])
+        out[i] = total
+    return out, sum(map(bool, states.values())), max((len(c) for c, x in states.items() if x), default=0)
+
+
+def test_lm_scores_equal_a_brute_force_tree(spark):
+    r = random.Random(21)
+    follows = {w: r.sample(range(60), 4) for w in range(60)}
+    texts = []
+    for _ in range(150):
+        w, out = r.randrange(60), []
+        for _ in range(r.randint(0, 80)):
+            out.append(f"w{w}" if r.random() < 0.97 else f"rare{r.randrange(900)}")
+            w = r.choice(follows[w]) if r.random() < 0.9 else r.randrange(60)
+        texts.append(" ".join(out))
+    texts += [" ".join(["a b c d"] * 30), " ".join(["a b x d"] * 30), "", "unseen words only"]
+    rows = list(enumerate(texts))
+    expected, states, depth = brute_lm(rows)
+    assert states > 30 and depth >= 2
+    got = {x.doc_id: x.score for x in suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(math.isclose(got[i], expected[i], rel_tol=1e-9) for i in expected)
+
+
 def test_lm_distribution_sums_to_one_and_learns(spark):
     r = random.Random(2)
     texts = [" ".join(["a b c d e f"] * r.randint(5, 20)) for _ in range(200)]
