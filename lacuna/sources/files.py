@@ -46,10 +46,13 @@ def read_sources(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """Published results by id: rows without an id go, of several with one id the last file's stays."""
-    rows = spark.read.schema(schema).json(path).withColumn("file", F.input_file_name()).where("id is not null")
-    last = Window.partitionBy("id").orderBy(F.desc("file"))
-    return rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "file")
+    """Published results by id: rows without an id go, of several with one id the last row of the last file stays."""
+    place = ("_metadata.file_path", "_metadata.file_block_start")
+    rows = spark.read.schema(schema).json(path)
+    names = rows.columns
+    rows = rows.select(*names, F.struct(*map(F.col, place), F.monotonically_increasing_id()).alias("__place")).where("id is not null")
+    last = Window.partitionBy("id").orderBy(F.desc("__place"))
+    return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").select(*names)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -58,9 +61,19 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, sep="\t", header=True, quote='"', escape='"')
 
 
+def to_dicts(rows: DataFrame) -> DataFrame:
+    """One JSON object a row, in a column ``value``; fields without a value are left out."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def from_dicts(lines: DataFrame, schema: str | StructType) -> DataFrame:
+    """The rows of JSON objects in a column ``value``; missing fields are null."""
+    return lines.select(F.from_json("value", schema).alias("row")).select("row.*")
+
+
 def write_redacted(applied: DataFrame, path: str) -> None:
-    """Redacted texts and their logs, one JSON line a document, in folders by document."""
-    applied.select("doc_id", "output", "edits").write.mode("overwrite").partitionBy("doc_id").json(path)
+    """Redacted texts and their logs as JSON lines, one a document, in as many files as there are tasks."""
+    applied.select("doc_id", "output", "edits").write.mode("overwrite").json(path)
 
 
 def append_results(results: DataFrame, path: str) -> None:
