@@ -338,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "detect_patterns": base
         + "SELECT doc_id, CAST(0 AS BIGINT) AS seq, mail AS text, 'identifier' AS type FROM b UNION ALL SELECT doc_id, 1, phone, 'identifier' FROM b "
         + "UNION ALL SELECT doc_id, 2, street || ' ' || house || ', ' || zip || ' ' || town, 'address' FROM b "
-        + f"UNION ALL SELECT doc_id, 3, {_quoted(D.OFFICE)}, 'address' FROM b UNION ALL SELECT doc_id, 4, zip || ' ' || town, 'address' FROM b UNION ALL SELECT doc_id, 5, '8090 Zürich', 'address' FROM b",
+        + f"UNION ALL SELECT doc_id, 3, {_quoted(D.OFFICE)}, 'address' FROM b UNION ALL SELECT doc_id, 4, zip || ' ' || town, 'address' FROM b UNION ALL SELECT doc_id, 5, {_quoted(D.OFFICE.split(', ')[1])}, 'address' FROM b",
         "chunk_text": _chunks_sql(600),
         "social_insurance_flag": "SELECT o_orderkey, o_orderkey % 4 IN (1, 2) OR o_orderkey % 5 = 0 AS social FROM orders",
         "type_votes": f"WITH {_mentions_sql()} SELECT doc_id, {_fold('text')} AS key, type, count(*) AS votes FROM m GROUP BY ALL",
