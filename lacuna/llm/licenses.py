@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Known licence sentences by identifier, in normal form (lower case, runs of other characters as one blank).
 SENTENCES = {
     "agpl-3-is": "this work is licensed under the gnu affero general public license version 3",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "apache-2-is": "licensed under the apache license version 2 0",
     "apache-2-file": "you may not use this file except in compliance with the license",
     "apache-2-copy": "you may obtain a copy of the license at",
@@ -20,15 +21,22 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-is": "released under the bsd license",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
     "cc-by-is": "licensed under cc by 4 0",
     "cc-by-nc-is": "licensed under cc by nc 4 0",
     "cc-by-sa-is": "licensed under cc by sa 4 0",
     "cc0-is": "released under cc0 1 0",
     "copying-free": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "epl-2-is": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "gpl-2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-2-is": "this work is licensed under the gnu general public license version 2",
     "gpl-3-is": "this work is licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-2-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mit-disclaimer": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "mit-is": "released under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
@@ -36,6 +44,7 @@ SENTENCES = {
     "proprietary": "this software is proprietary and confidential",
     "public-domain": "this work is in the public domain",
     "reserved": "all rights reserved",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
@@ -49,15 +58,26 @@ VARIANTS = {
 
 #: Rules in the order in which they are tried; the first whose sequence stands at a place wins there.
 RULES = (
+    ("MIT", ("mit-grant", "mit-notice", "mit-disclaimer")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("Apache-2.0", ("apache-2-is", "apache-2-file", "apache-2-copy", "apache-2-as-is")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
     ("GPL-3.0-or-later", ("gpl-free",)),
+    ("GPL-2.0-or-later", ("gpl-2-free", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl-2-free",)),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("LGPL-2.1-or-later", ("lgpl-2-free",)),
+    ("LGPL-3.0-or-later", ("lgpl-3-free",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("EPL-2.0", ("epl-2-is",)),
+    ("ISC", ("isc-grant",)),
+    ("Zlib", ("zlib-grant",)),
     ("Apache-2.0", ("apache-2-is",)),
     ("AGPL-3.0-only", ("agpl-3-is",)),
-    ("BSD-3-Clause", ("bsd-is",)),
+    ("BSD", ("bsd-is",)),
     ("CC-BY-4.0", ("cc-by-is",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-is",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-is",)),
@@ -74,12 +94,13 @@ RULES = (
 )
 
 _OTHER = re.compile(r"[^0-9a-z]+")
-_END = re.compile(r"(?<=[.!?;:])(?=\s)|\n[^\S\n]*\n")
+#: A mark ends a sentence after something else than white space or the marks that decorate comments.
+_END = re.compile(r"(?<=[^\s;#/*-][.!?;:])(?=\s)|\n[^\S\n]*\n")
 #: Marks inside a known sentence: what they cut may go on in the next piece.
 _GOES_ON = re.compile(r"(?:[;:]|\bv\.)\Z", re.IGNORECASE)
 #: Pieces of one sentence at most.
 PIECES = 3
-_LINE_END = re.compile(r"(?<=[.!?;:])(?=\s)|\n")
+_LINE_END = re.compile(r"(?<=[^\s;#/*-][.!?;:])(?=\s)|\n")
 
 
 def normalise(sentence: str) -> str:
@@ -116,7 +137,6 @@ class Recognizer:
         self.rules = rules
         anchors = check_rules(sentences | {f"{i} {k}": s for k, (s, i) in enumerate(self.ids.items())}, rules)
         self.anchor = re.compile(anchors, re.IGNORECASE)
-        self.longest = 3 * max(map(len, self.ids)) + 200
 
     def sentences(self, text: str) -> list[tuple[int, str]]:
         """(place, identifier) of every known sentence, in order. A sentence ends at a mark before white space and at an
@@ -135,7 +155,7 @@ class Recognizer:
                     k += 1
                 begins = [*begins[1 - PIECES :], at]
                 for begin in begins:  # the longest first
-                    if end - begin > self.longest or not (k < len(anchors) and anchors[k] < end or begin < at and self.anchor.search(text, begin, at)):
+                    if not (k < len(anchors) and anchors[k] < end or begin < at and self.anchor.search(text, begin, at)):
                         continue
                     name = self.ids.get(normalise(text[begin:end]))
                     if name:
