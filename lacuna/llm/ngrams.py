@@ -377,7 +377,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     buckets = max(BUCKETS, 1 << (total // BUCKET_GRAMS).bit_length())
     packed = docs.select("id", "text").mapInArrow(_keys(width, percent, buckets), "bucket int, packed binary")
     packed = packed.repartition("bucket") if buckets <= BUCKETS else packed.repartition(buckets // 4, "bucket")
-    stars = packed.sortWithinPartitions("bucket").mapInArrow(trimmed(_stars), "a long, b long").distinct()
+    stars = packed.sortWithinPartitions("bucket").mapInArrow(trimmed(_stars), "a long, b long")
     blocks = components(stars, "ngram-blocks").select("node", F.col("root").alias("block"))
     sets = classes.where("id is not null").groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("node0").alias("node0"), F.max("node1").alias("node1"))
     members = sets.withColumn("node", F.explode(F.array("node0", "node1"))).join(blocks, "node").select("id", "sid", "n", "block")
