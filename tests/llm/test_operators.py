@@ -278,6 +278,29 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 130)}, -5: -5, 200: -5, 201: -5}
 
 
+def test_components_equal_a_plain_search(spark):
+    """Long paths in random order, meeting hubs and random edges end as they do in a search from every smallest node."""
+    draw = random.Random(5)
+    path = draw.sample(range(10_000, 13_000), 1_500)
+    edges = [*zip(path, path[1:])] + [(5_000, k) for k in range(2_000, 4_000)] + [(9_000, k) for k in range(3_000, 5_000)] + [(-5, 9_000)]
+    edges += [(draw.randrange(-2_000, 0), draw.randrange(-2_000, 0)) for _ in range(1_200)]
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    expected: dict[int, int] = {}
+    for start in sorted(near):
+        todo = [start] if start not in expected else []
+        while todo:
+            if (node := todo.pop()) not in expected:
+                expected[node] = start
+                todo += near[node]
+    found = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(found) == len(expected) and {r.node: r.root for r in found} == expected
+    assert graph.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
 def test_lm_scores(docs, rows, empty):
     got = suffixtree.score(docs).collect()
     assert len(got) == len(rows)
