@@ -5,7 +5,9 @@
    n-grams. If the n-grams are dealt to more parts than that, some part is equal in both. Documents whose sizes allow
    a link therefore share the key of a part, and the documents connected by shared keys form a block. Only parts with
    enough n-grams give keys, as others say little: documents that have too few such parts for the bound to hold also
-   give each n-gram of their prefix, of which a linked pair of them shares one.
+   give each n-gram of their prefix, of which a linked pair of them shares one. N-grams that many texts of a sample
+   have belong to no part and come last in prefixes: passages that are quoted everywhere would tie a share of all
+   documents into one block, whose chunk pairs grow with the square of the input.
 3. Inside a block the incidence is multiplied row by row against an index of the rarest n-grams of each row: only rows
    that share one of them can reach the bound that the sizes set. Overlaps are accumulated for these, pairs below the
    bound are discarded, and rows that are connected already are passed over. Blocks above a size are cut into chunks,
@@ -32,6 +34,9 @@ from .graph import components
 #: Least number of buckets of keys, and n-grams of all texts to a bucket where there are more; entries that are held before
 #: they are packed or merged; n-grams of a chunk of a block.
 BUCKETS, BUCKET_GRAMS, HELD, CHUNK = 1 << 10, 1 << 21, 1 << 18, 1 << 20
+#: An n-gram is common if so many texts of the sample have it; the sample's least step, its n-grams, its buckets; common
+#: n-grams at most, all of which every task gets.
+COMMON, SAMPLE_STEP, SAMPLE_GRAMS, SAMPLE_BUCKETS, COMMONS = 4, 16, 1 << 25, 1 << 6, 1 << 19
 #: Classes with this share of all rows are hot: at most SHARE of them can be.
 HOT, SHARE = 1 << 12, 1 << 12
 #: Candidate tables up to so many rows are sent to the texts, larger ones are joined by a shuffle.
@@ -98,12 +103,20 @@ def levels(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return first[:-1], differ, np.array(parts, np.int64), np.array(least, np.int64)
 
 
-def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the sets' parts at both of their levels, and which set and which level each belongs to."""
+def part_keys(sets: list[np.ndarray], percent: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the sets' parts at both of their levels, and which set and which level each belongs to.
+
+    ``common`` are sorted n-grams that many sets have, and how many: they belong to no part and come last in prefixes. Any
+    such table is right as long as all sets are given the same: a pair differs in no more n-grams without them.
+    """
     _, differ, parts, least = levels(percent)
     sizes = np.array([len(s) for s in sets], np.int64)
     both = levels_of(sizes, percent) if sets else np.empty((0, 2), np.int64)
     grams = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    times = np.zeros(len(grams), np.int64)
+    if common is not None and len(common[0]) and len(grams):
+        at = np.minimum(np.searchsorted(common[0], grams), len(common[0]) - 1)
+        times = np.where(common[0][at] == grams, common[1][at], 0)
     keys, owners, at_level = [], [], []
     for below in (0, 1):
         live = both[:, below] >= 0
@@ -115,27 +128,34 @@ def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
         offset = np.concatenate([[0], np.cumsum(k)])
         mask = np.repeat(live, sizes)
         g = mix(grams[mask] + np.uint64(0xA0761D6478BD642F))
-        group = np.repeat(np.arange(len(which)), sizes[which])
+        group, often = np.repeat(np.arange(len(which)), sizes[which]), times[mask]
         with np.errstate(over="ignore"):
             cell = offset[group] + (((g >> np.uint64(32)) * k[group].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
             g = mix(g)
             # Halves of 32 bits add up exactly in doubles.
-            low = np.bincount(cell, (g & np.uint64(0xFFFFFFFF)).astype(np.float64), offset[-1]).astype(np.uint64)
-            high = np.bincount(cell, (g >> np.uint64(32)).astype(np.float64), offset[-1]).astype(np.uint64)
+            rare = often == 0
+            cell, r = cell[rare], g[rare]
+            low = np.bincount(cell, (r & np.uint64(0xFFFFFFFF)).astype(np.float64), offset[-1]).astype(np.uint64)
+            high = np.bincount(cell, (r >> np.uint64(32)).astype(np.float64), offset[-1]).astype(np.uint64)
             count = np.bincount(cell, minlength=offset[-1])
             owner = np.repeat(np.arange(len(which)), k)
             useful = count >= least[level][owner]
             enough = np.bincount(owner, useful, len(which)) > differ[level]
+            if (~enough & (least[level] > 1)).any():
+                # These give their parts of one n-gram too, whichever number of them they have.
+                useful |= (count > 0) & ~enough[owner]
+                enough |= np.bincount(owner, count > 0, len(which)) > differ[level]
             place = np.arange(offset[-1]) - offset[owner]
             seed = mix((level[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
             keys.append(mix(low + (high << np.uint64(32)) + seed)[useful])
             owners.append(which[owner[useful]])
             at_level.append(level[owner[useful]])
-            # Both of a pair have enough useful parts, or one has, which then share one, or neither: prefixes in the order of g.
+            # Both of a pair have enough useful parts, or one has, which then share one, or neither, and the same holds for parts
+            # of any n-gram. Where none has enough of these: prefixes, the rarest first, in the order of g.
             few = ~enough[group]
             if few.any():
                 g, of = g[few], group[few]
-                order = np.lexsort((g, of))
+                order = np.lexsort((g, often[few], of))
                 g, of = g[order], of[order]
                 start = np.searchsorted(of, of)
                 n = sizes[which[of]]
@@ -186,8 +206,44 @@ def _describe(width: int, percent: int):
     return trimmed(run)
 
 
-def _keys(width: int, percent: int, buckets: int):
-    """Keys and nodes packed by bucket; ``buckets`` is a power of two."""
+def _sampled(width: int):
+    """The n-grams of texts that differ, packed by bucket."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in _slices(whole):
+                grams = np.concatenate([np.empty(0, np.uint64), *sets_of(batch.column(0), width)])
+                grams = np.sort(grams)
+                cuts = np.searchsorted(grams, np.arange(SAMPLE_BUCKETS, dtype=np.uint64) << np.uint64(65 - SAMPLE_BUCKETS.bit_length()))
+                packed = [x.tobytes() for x in np.split(grams, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(range(SAMPLE_BUCKETS), pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+    return trimmed(run)
+
+
+def _often(table: pa.Table) -> pa.Table:
+    grams = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["packed"].combine_chunks()])
+    grams, n = np.unique(grams, return_counts=True)
+    keep = n >= COMMON
+    return pa.table({"gram": pa.array(grams[keep].view(np.int64)), "n": pa.array(n[keep].astype(np.int64))})
+
+
+def common_grams(docs: DataFrame, width: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that COMMON texts of a sample have, sorted, and how many have each; the most frequent COMMONS of them.
+
+    They only say where documents meet: with any others the same links are found, in larger blocks.
+    """
+    step = max(SAMPLE_STEP, -(-total // SAMPLE_GRAMS))
+    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").distinct()
+    found = texts.mapInArrow(_sampled(width), "bucket int, packed binary").groupBy("bucket").applyInArrow(_often, "gram long, n long")
+    found = found.orderBy(F.desc("n"), "gram").limit(COMMONS).toArrow()
+    grams, n = found["gram"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int64)
+    order = np.argsort(grams)
+    return grams[order], n[order]
+
+
+def _keys(width: int, percent: int, buckets: int, common=None):
+    """Keys and nodes packed by bucket; ``buckets`` is a power of two, ``common`` a broadcast table of common n-grams."""
 
     def run(batches):
         seen: set[int] = set()
@@ -214,7 +270,7 @@ def _keys(width: int, percent: int, buckets: int):
                         seen.add(sid)
                         sets.append(s)
                         sids.append(sid)
-                keys, owner, level = part_keys(sets, percent)
+                keys, owner, level = part_keys(sets, percent, common.value if common else None)
                 if len(keys):
                     held.append((keys, node_of(np.array(sids, np.int64)[owner], level)))
                     n += len(keys)
@@ -375,7 +431,9 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     # Keys grow with the n-grams, so do their buckets; the rows of a bucket come one after another.
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(BUCKETS, 1 << (total // BUCKET_GRAMS).bit_length())
-    packed = docs.select("id", "text").mapInArrow(_keys(width, percent, buckets), "bucket int, packed binary")
+    # Texts that share what many have (notices, quotations) would all hang together; a table that fits one chunk needs no care.
+    common = df.sparkSession.sparkContext.broadcast(common_grams(docs, width, total)) if total > CHUNK else None
+    packed = docs.select("id", "text").mapInArrow(_keys(width, percent, buckets, common), "bucket int, packed binary")
     packed = packed.repartition("bucket") if buckets <= BUCKETS else packed.repartition(buckets // 4, "bucket")
     stars = packed.sortWithinPartitions("bucket").mapInArrow(trimmed(_stars), "a long, b long")
     blocks = components(stars, "ngram-blocks").select("node", F.col("root").alias("block"))

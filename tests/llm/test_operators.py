@@ -219,6 +219,47 @@ def test_part_keys_meet_all_links():
                 assert {*zip(keys[owner == 0], level[owner == 0])} & {*zip(keys[owner == 1], level[owner == 1])}, (len(a), len(b), both)
 
 
+def test_part_keys_meet_all_links_beside_common_ngrams():
+    """Whichever n-grams are called common: a few, most or all of a set's, in one of a pair or in both."""
+    r = np.random.default_rng(7)
+    for percent in (80, 85):
+        for trial in range(400):
+            n = int(r.integers(2, 400))
+            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            change = int(r.integers(0, n // 8 + 2))
+            b = np.unique(np.concatenate([a[change // 2 :], r.integers(0, 2**63, change).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+                every = np.union1d(a, b)
+                some = every[r.random(len(every)) < (0.05, 0.2, 0.5, 0.9, 1)[trial % 5]]
+                keys, owner, level = ngrams.part_keys([a, b], percent, (some, r.integers(4, 90, len(some))))
+                assert {*zip(keys[owner == 0], level[owner == 0])} & {*zip(keys[owner == 1], level[owner == 1])}, (len(a), len(b), both)
+
+
+def test_a_passage_that_many_texts_share_makes_no_large_block(spark, monkeypatch):
+    r = random.Random(12)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, texts = prose(60), []
+    for _ in range(150):
+        texts.append(prose(60) + passage + prose(60))
+    for t in texts[:20]:
+        texts.append([*t[:5], "other", *t[6:]])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    largest = []
+
+    def watched(edges, name):
+        found = graph.components(edges, name)
+        largest.append((name, found.groupBy("root").count().agg(F.max("count")).first()[0]))
+        return found
+
+    monkeypatch.setattr(ngrams, "components", watched)
+    monkeypatch.setattr(ngrams, "CHUNK", 700)
+    monkeypatch.setattr(ngrams, "SAMPLE_STEP", 1, raising=False)
+    got = ngrams.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(rows, 5, 80)
+    assert dict(largest)["ngram-blocks"] <= 4, largest
+
+
 def test_unrelated_short_sets_share_no_key():
     """Blocks of unrelated rows do not grow: sets of any small size that share no n-gram share no key."""
     r = np.random.default_rng(4)
