@@ -1,14 +1,13 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Symbols are the words that occur at least a fixed number of times in the training tokens, up to the million most frequent,
-one symbol for all other words, the end of a text and its start. A context of up to DEPTH symbols is a state of the tree
+Symbols are the words that occur at least a fixed number of times in the training tokens, one symbol for all other words, the end of a text and its start. A context of up to DEPTH symbols is a state of the tree
 if it occurs at least a fixed number of times, its suffix is a state and its next-symbol distribution diverges from that of
 its suffix: the gain in log-likelihood must exceed what its parameters cost and a least gain per token. Next symbols are
 smoothed with the distribution of the suffix, down to the root. A text is scored by the longest suffix of what was read
 that is a state; a word outside the symbols has its root probability within their common one.
 
-Both counts are absolute, so symbols (up to their bound) and states (without one) grow with the corpus, and so do the
-counts of all other words. Every task gets the symbols with their root probabilities and the states that make up a fixed
+Both counts are absolute, so symbols and states grow with the corpus without a bound, and so do the counts of all other
+words. Every task gets the symbols with their root probabilities and the states that make up a fixed
 share of all tokens, at most 1 / share of each depth. All other states never leave the tasks that own them: a token goes
 to the task of its shortest suffix below that share, which finds the states, scores their tokens and returns sums by
 text. Tokens outside the symbols go to the task of their word likewise.
@@ -27,9 +26,6 @@ from .common import buffers, mix, word_hashes
 
 #: Least number of training tokens of a symbol and of a context, and the symbols of the longest context.
 SYMBOL_COUNT, CONTEXT_COUNT, DEPTH = 16, 16, 3
-#: Most frequent words that are symbols at most: what every task gets is bounded by it. A word beyond them has less than
-#: 1 / SYMBOLS of the tokens.
-SYMBOLS = 1 << 20
 #: Contexts of up to two symbols with this share of the training tokens go to every task: at most 1 / share of a depth.
 HEAVY_SHARE = 1e-2
 #: Weight of the suffix's distribution; what a parameter must gain in natural log-likelihood, times the log of all tokens,
@@ -401,7 +397,7 @@ def fit(rows: DataFrame) -> tuple[Tree, int, int, float]:
     counts = train.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where((F.col("n") >= SYMBOL_COUNT) & F.col("word").isNotNull()).select("word", "n").orderBy(F.desc("n"), "word").limit(SYMBOLS).toArrow()
+    frequent = counts.where((F.col("n") >= SYMBOL_COUNT) & F.col("word").isNotNull()).select("word", "n").toArrow()
     word = frequent["word"].to_numpy().astype(np.int64)
     alphabet = Alphabet(word)
     n = np.zeros(alphabet.size)

@@ -422,6 +422,25 @@ def test_lm_scores_equal_a_brute_force_tree(spark):
     assert all(math.isclose(got[i], expected[i], rel_tol=1e-9) for i in expected)
 
 
+def test_lm_symbols_have_no_bound_and_buckets_may_be_split(spark, monkeypatch):
+    monkeypatch.setattr(suffixtree, "SYMBOLS", 8, raising=False)  # a bound, where there is one
+    monkeypatch.setattr(suffixtree, "PART_TOKENS", 50, raising=False)
+    r = random.Random(31)
+    follows = {w: r.sample(range(40), 3) for w in range(40)}
+    texts = []
+    for _ in range(120):
+        w, out = r.randrange(40), []
+        for _ in range(r.randint(0, 60)):
+            out.append(f"w{w}" if r.random() < 0.97 else f"rare{r.randrange(900)}")
+            w = r.choice(follows[w]) if r.random() < 0.9 else r.randrange(40)
+        texts.append(" ".join(out))
+    rows = list(enumerate(texts))
+    expected, states, _ = brute_lm(rows)
+    assert states > 20
+    got = {x.doc_id: x.score for x in suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(math.isclose(got[i], expected[i], rel_tol=1e-9) for i in expected)
+
+
 def test_lm_distribution_sums_to_one_and_learns(spark):
     r = random.Random(2)
     texts = [" ".join(["a b c d e f"] * r.randint(5, 20)) for _ in range(200)]
