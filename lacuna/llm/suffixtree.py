@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import buffers, mix, word_hashes
+from .common import buffers, mix, trim, trimmed, word_hashes
 
 #: Least number of training tokens of a symbol and of a context, and the symbols of the longest context.
 SYMBOL_COUNT, CONTEXT_COUNT, DEPTH = 16, 16, 3
@@ -35,6 +35,8 @@ SMOOTHING, COST, LEAST_GAIN = 50.0, 0.5, 0.01
 ALPHA = 0.1
 #: Tokens that a task counts at once.
 BUCKET_TOKENS = 1_000_000
+#: Tokens whose states a task finds at once.
+PART_TOKENS = 150_000
 #: Symbols of the start and of the end of a text and of other words.
 START, END, OTHER = 0, 1, 2
 
@@ -250,6 +252,17 @@ def _by_count(tree: Tree) -> np.ndarray:
     return np.append(np.argsort(-tree.root, kind="stable"), -1)
 
 
+def _owner(tree: Tree, past: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A hash of the shortest context of each token that is not heavy, or of the token with it where none is."""
+    with np.errstate(over="ignore"):
+        key = mix(past[0].astype(np.int64).view(np.uint64) + np.uint64(1))
+        for d, heavy in enumerate(_heavy(tree, past), 1):
+            further = past[d][heavy] if d < len(past) else np.full(heavy.sum(), -1)
+            further = np.where(further >= 0, further, -2 - after[heavy]).astype(np.int64)
+            key[heavy] = mix(key[heavy] * np.uint64(0x9FB21C651E98DF25) + further.view(np.uint64))
+    return key
+
+
 def _tokens(tree: Tree, buckets: int, depth: int):
     """All tokens, packed by the bucket of their shortest context that is not heavy, or of the token where none is.
 
@@ -265,12 +278,7 @@ def _tokens(tree: Tree, buckets: int, depth: int):
             real = s[1:] != START
             past, after = history(s, depth)[:, real], s[1:][real]
             row = np.repeat(np.arange(len(counts), dtype=np.int32), counts + 1)
-            with np.errstate(over="ignore"):
-                key = mix(past[0].view(np.uint64) + np.uint64(1))
-                for d, heavy in enumerate(_heavy(tree, past), 1):
-                    further = past[d][heavy] if d < depth else np.full(heavy.sum(), -1)
-                    further = np.where(further >= 0, further, -2 - after[heavy])
-                    key[heavy] = mix(key[heavy] * np.uint64(0x9FB21C651E98DF25) + further.view(np.uint64))
+            key = _owner(tree, past, after)
             bucket = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket * tree.alphabet.size + past[0])
             numbers, bucket = np.vstack([rank[after[order]], *rank[past[:, order]], row[order]]), bucket[order]
@@ -334,19 +342,35 @@ def _sum_tokens(tree: Tree, other: float, total: int, depth: int):
         parts = [_unsqueeze(x.as_buffer(), depth + 2, k) for x, k in zip(table["symbols"].combine_chunks(), n.tolist(), strict=True)]
         train = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table["train"].combine_chunks(), rows.tolist(), strict=True)])
         offsets = np.cumsum([0, *rows])
-        row = np.concatenate([x[-1] + o for x, o in zip(parts, offsets, strict=False)])
-        symbols = _by_count(tree)[np.concatenate([x[:-1] for x in parts], axis=1)]
-        p, _ = states(tree, symbols[1:], symbols[0], train[row].astype(bool), total)
-        logs = np.bincount(row, np.log10(p) - (symbols[0] == OTHER) * other, minlength=len(train))
-        sums = [logs[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-        return pa.table({"slice": table["slice"], "sums": pa.array(sums, pa.binary()), "uids": table["uids"].cast(pa.binary())})
+        row = np.concatenate([x[-1] + np.int32(o) for x, o in zip(parts, offsets, strict=False)])
+        by_count = _by_count(tree)
+        share = np.uint64(max(1, -(-len(row) // PART_TOKENS)))
+        owner = []  # low bits of the key whose high bits are the bucket's: a context is in one share whole
+        for x in parts:
+            symbols = by_count[x[:-1]]
+            owner.append((_owner(tree, symbols[1:], symbols[0]) % (np.uint64(1) << np.uint64(32)) % share).astype(np.int32))
+        owner, numbers = np.concatenate(owner), np.concatenate([x[:-1] for x in parts], axis=1)
+        del parts
+        logs = np.zeros(len(train))
+        for k in range(int(share)):
+            mine = np.flatnonzero(owner == k)
+            symbols, of = by_count[numbers[:, mine]], row[mine]
+            p, _ = states(tree, symbols[1:], symbols[0], train[of].astype(bool), total)
+            logs += np.bincount(of, np.log10(p) - (symbols[0] == OTHER) * other, minlength=len(train))
+        del numbers, owner, row
+        # Rows without tokens in the bucket are zeros, which take no space: most are where there are many buckets.
+        codec = pa.Codec("zstd", compression_level=1)
+        sums = [codec.compress(logs[a:b].tobytes(), asbytes=True) for a, b in zip(offsets, offsets[1:], strict=False)]
+        trim()
+        return pa.table({"slice": table["slice"], "rows": table["rows"], "sums": pa.array(sums, pa.binary()), "uids": table["uids"].cast(pa.binary())})
 
     return run
 
 
 def _sum_rows(table: pa.Table) -> pa.Table:
     """uid and sum over all buckets of the rows of one part of a batch."""
-    sums = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table["sums"].combine_chunks())
+    codec, size = pa.Codec("zstd"), 8 * table["rows"][0].as_py()
+    sums = sum(np.frombuffer(codec.decompress(x.as_buffer(), size), np.float64) for x in table["sums"].combine_chunks())
     uids = next(x for x in table["uids"].combine_chunks() if x.is_valid)
     return pa.table({"uid": pa.array(np.frombuffer(uids.as_buffer(), np.int64)), "model": pa.array(sums)})
 
@@ -394,7 +418,7 @@ def _sum_rare(table: pa.Table) -> pa.Table:
 def fit(rows: DataFrame) -> tuple[Tree, int, int, float]:
     """The tree of the heavy contexts, training tokens N, distinct training tokens V, and the log10 of the other words' common root probability."""
     train = rows.where(~F.col("held_out")).select("text")
-    counts = train.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = train.mapInArrow(trimmed(_count_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = counts.where((F.col("n") >= SYMBOL_COUNT) & F.col("word").isNotNull()).select("word", "n").toArrow()
@@ -445,11 +469,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     rare, copies = F.col("n_rare"), F.col("copies")
     n_rare, n_tokens = own.agg(F.coalesce(F.sum("n_rare"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     buckets, parts, depth = max(24, -(-n_rare // BUCKET_TOKENS)), max(24, -(-n_tokens // BUCKET_TOKENS)), DEPTH
-    by_context = rows.mapInArrow(lambda batches: _tokens(tree_value.value, parts, depth)(batches), "bucket int, slice long, rows int, n int, symbols binary, train binary, uids binary")
-    models = by_context.groupBy("bucket").applyInArrow(lambda t: _sum_tokens(tree_value.value, other, total, depth)(t), "slice long, sums binary, uids binary")
+    by_context = rows.mapInArrow(lambda batches: trimmed(_tokens(tree_value.value, parts, depth))(batches), "bucket int, slice long, rows int, n int, symbols binary, train binary, uids binary")
+    models = by_context.groupBy("bucket").applyInArrow(lambda t: _sum_tokens(tree_value.value, other, total, depth)(t), "slice long, rows int, sums binary, uids binary")
     models = models.groupBy("slice").applyInArrow(_sum_rows, "uid long, model double")
     models = models.groupBy("uid").agg(F.sum("model").alias("model"))
-    packed = rows.mapInArrow(lambda batches: _rare_tokens(tree_value.value.alphabet, buckets)(batches), "bucket int, words binary, local binary, uids binary, train binary")
+    packed = rows.mapInArrow(lambda batches: trimmed(_rare_tokens(tree_value.value.alphabet, buckets))(batches), "bucket int, words binary, local binary, uids binary, train binary")
     sums = packed.groupBy("bucket").applyInArrow(_sum_rare, "uid long, logs double, known long")
     sums = sums.groupBy("uid").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"))
     times = own.groupBy("uid").agg(F.count("*").alias("copies")).where("copies > 1")
