@@ -11,27 +11,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import document, rows, spans, text as T
 from ..functions import patterns as P
-from ..functions import spans, text as T
 
 MENTION = "struct<text:string,type:string,role:string,source:string>"
 
 
-def _mention(surface: Column, type_: Column | str, role: Column | str = "", source: str = "pattern") -> Column:
-    lift = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(surface.alias("text"), lift(type_).alias("type"), lift(role).alias("role"), F.lit(source).alias("source"))
-
-
 def pattern_array(text: Column) -> Column:
     """Structured identifiers of a text in the detectors' order, repeats included (they are votes)."""
-
-    def scan(pattern: str, type_: str, group: int = 0) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(P.java(pattern)), F.lit(group)), lambda s: _mention(T.squeeze(s), type_))
-
-    found = [scan(rx, t) for t, rx in P.DETECTORS] + [scan(P.PARCEL, "parcel_number", 1)]
-    plates = F.filter(spans.find(text, P.PLATE), lambda s: T.matches(T.before(text, s["start"], 60), P.PLATE_CUE))
-    found.append(F.transform(plates, lambda s: _mention(T.squeeze(s["text"]), "identifier")))
-    return F.concat(*found)
+    return rows.column(lambda t: [(surface, kind, "", "pattern") for *_, surface, kind in document.identifiers(t)], f"array<{MENTION}>")(text)
 
 
 def pattern_mentions(docs: DataFrame) -> DataFrame:

@@ -1,18 +1,33 @@
-"""Redaction: where entities occur, which occurrences become edits, what is written, and the proof that nothing else changed."""
+"""Redaction: where entities occur, which occurrences become edits, what is written, and the proof that nothing else changed.
+
+A document is redacted in one go, in one row: its text, its mentions and what comes of them meet nothing of other documents.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+from functools import cached_property
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import document as D
 from ..functions import patterns as P
-from ..functions import spans, text as T
+from ..functions import rows as R
 from ..plans.rules import letters
 from ..session import materialize
-from .resolve import apply_rules, entities as resolve_entities
+from . import resolve
 
 SPAN = "struct<start:int,end:int,seq:int,ent:int>"
 EDIT = "struct<start:int,end:int,original:string,replacement:string,entity:int,type:string,action:string,basis:string>"
+ENTITY = resolve.ENTITY.removesuffix(">") + ",first:int,count:bigint,label:string>"
+#: The places in an entity of its type, names, roles, action, why, first and label.
+TYPE, NAMES, ROLES, ACTION, BASIS, WHY, FIRST, LABEL = 1, 2, 3, 5, 6, 7, 8, 10
+SUMMARY = "struct<place:int,id:int,label:string,type:string,action:string,basis:string,why:string,count:bigint,names:array<string>,roles:array<string>>"
+#: Detected mentions come before those of later detectors.
+STEP = 1_000_000_000
 
 
 def by_length(names: Column) -> Column:
@@ -21,108 +36,170 @@ def by_length(names: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["n"])
 
 
-def occurrences(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """doc_id, ent, seq (order of finding in the document), start, end of every name's occurrences, overlapping ones included.
-
-    The entities of a document meet its text once, as an array; only spans are shuffled afterwards.
+def occurrences(text: str | None, entities: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """start, end, seq (order of finding), ent of every name's occurrences, overlapping ones included."""
+    out: list[tuple[int, int, int, int]] = []
+    for e in entities:
+        kind = e[TYPE]
+        person = kind in P.PERSON
+        for name in D.by_length(e[NAMES] or ()):
+            for start, end in D.find(text, name, person):
+                if kind != "birth_date" or D.near_birth(text, start, end):
+                    out.append((start, end, len(out) + 1, e[0]))
+    return out
+
+
+def authority_addresses(text: str | None, entities: list[tuple], hits: list[tuple]) -> set[int]:
+    """The addresses of which every occurrence follows, within 150 characters and the same paragraph, a body that the pack
+    keeps: the nearest name that ends before it."""
+    asked = {e[0] for e in entities if e[TYPE] == "address"}
+    if not asked:
+        return set()
+    bodies = {e[0] for e in entities if e[TYPE] in P.AUTHORITY and e[ACTION] == "keep"}
+    named = sorted((end, seq, start, ent in bodies) for start, end, seq, ent in hits if ent not in asked)
+    ends = [x[0] for x in named]
+    judged: dict[int, bool] = {}
+    for begin, _, _, ent in hits:
+        if ent in asked:
+            k = bisect_right(ends, begin) - 1
+            near = k >= 0 and begin - ends[k] <= 150 and "\n\n" not in text[ends[k] : begin]
+            judged[ent] = judged.get(ent, True) and near and named[k][3]
+    return {ent for ent, kept in judged.items() if kept}
+
+
+class Pack:
+    """A rule pack as the workers use it."""
+
+    def __init__(self, pack: dict):
+        self.rules = resolve.by_type(pack)
+        self.placeholder, self.removed = pack["placeholder"], pack["removed"]
+        self.people, self.places = letters(pack["person_letters"], ""), letters(pack["place_letters"], pack["person_letters"])
+
+
+class Redaction:
+    """One document's entities, edits, output and guard; each is worked out when it is asked for."""
+
+    def __init__(self, text: str | None, legal_area: str | None, mentions: list[tuple] | None, pack: Pack):
+        self.text, self.pack = text, pack
+        self.social = D.social_insurance(text, legal_area) if mentions else None
+        found = resolve.document_entities(mentions or [], self.social, pack.rules)
+        self.hits = occurrences(text, found)
+        kept = authority_addresses(text, found, self.hits)
+        if kept:
+            found = [(e[0], "authority_address", *e[2:5], *resolve.rule(pack.rules, "authority_address", self.social)) if e[0] in kept else e for e in found]
+        self._found = found
+        replaced = {e[0] for e in found if e[ACTION] != "keep"}
+        self._chosen = D.greedy(h for h in self.hits if h[3] in replaced)
+
+    @cached_property
+    def entities(self) -> list[tuple]:
+        """The entities with first, count and label: placeholders by first occurrence, places and others in sequences of
+        their own; removal marks."""
+        first, count = {}, {}
+        for start, _, _, ent in self.hits:
+            first[ent] = min(first.get(ent, start), start)
+            count[ent] = count.get(ent, 0) + 1
+        length = None if self.text is None else len(self.text)
+        edited = {s[3] for s in self._chosen}
+        labels = {e[0]: self.pack.removed for e in self._found if e[ACTION] == "remove"}
+        used = [(first[e[0]], e[0], e[TYPE] in P.PLACE) for e in self._found if e[ACTION] == "pseudonymize" and e[0] in edited]
+        turn = {True: iter(self.pack.places), False: iter(self.pack.people)}
+        for _, ent, place in sorted(used):
+            letter = next(turn[place], None)
+            labels[ent] = None if letter is None else self.pack.placeholder.replace("{letter}", letter)
+        return [(*e, first.get(e[0], length), count.get(e[0], 0), labels.get(e[0], "")) for e in self._found]
+
+    @cached_property
+    def edits(self) -> list[tuple]:
+        out = []
+        for start, end, _, ent in self._chosen:
+            e = self.entities[ent]
+            shown = e[LABEL]
+            # A label's own point is left out before a full stop.
+            if shown and shown[-1] == "." and self.text[end : end + 1] == ".":
+                shown = shown[:-1]
+            out.append((start, end, self.text[start:end], shown, ent, e[TYPE], e[ACTION], e[BASIS]))
+        return out
+
+    @cached_property
+    def written(self) -> list[tuple]:
+        return [(e[0], e[1], e[3]) for e in self.edits]
+
+    @cached_property
+    def output(self) -> str:
+        return D.splice(self.text or "", self.written)
+
+    @cached_property
+    def guard_ok(self) -> bool | None:
+        return None if self.text is None else D.untouched(self.text, self.output, self.written)
+
+    @cached_property
+    def kept(self) -> list[tuple]:
+        """Where kept names occur outside every edit, first entities first."""
+        keeping = {e[0] for e in self._found if e[ACTION] == "keep"}
+        return D.first_come((h for h in self.hits if h[3] in keeping), ((e[0], e[1]) for e in self.edits))
+
+    @property
+    def summary(self) -> list[tuple]:
+        return summarized(self.entities, self.edits, self.kept)
+
+
+def summarized(entities: list[tuple], edits: list[tuple], kept: list[tuple]) -> list[tuple]:
+    seen: dict[int, int] = {}
+    for ent in (*(e[4] for e in edits), *(k[3] for k in kept)):
+        seen[ent] = seen.get(ent, 0) + 1
+    rows = sorted((e for e in entities if e[0] in seen), key=lambda e: (e[FIRST] is not None, e[FIRST], e[0]))
+    return [
+        (place, e[0], e[LABEL], e[TYPE], e[ACTION], e[BASIS], e[WHY], seen[e[0]], D.by_length(e[NAMES]), e[ROLES][:3]) for place, e in enumerate(rows, 1)
+    ]
+
+
+#: What a redaction can give, and how it is asked for.
+Wanted = dict[str, tuple[str, Callable[..., Any]]]
+OUTPUT: Wanted = {"output": ("string", lambda r, *_: r.output)}
+EDITS: Wanted = {"edits": (f"array<{EDIT}>", lambda r, *_: r.edits)}
+COUNT: Wanted = {"n_edits": ("bigint", lambda r, *_: len(r.edits))}
+GUARD: Wanted = {"guard_ok": ("boolean", lambda r, *_: r.guard_ok)}
+ENTITIES: Wanted = {"entities": (f"array<{ENTITY}>", lambda r, *_: r.entities)}
+KEPT: Wanted = {"kept": (f"array<{SPAN}>", lambda r, *_: r.kept)}
+SUMMARIES: Wanted = {"summary": (f"array<{SUMMARY}>", lambda r, *_: r.summary)}
+
+
+def decide(rows: DataFrame, pack: dict, wanted: Wanted, patterns: bool = False, strict: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with doc_id, text, legal_area (null where unknown) and mentions (an array) -> also what is wanted of their
+    redaction; the columns named in ``more`` are given on to each function of ``wanted``.
+
+    With ``patterns`` the pattern mentions are found in the same go, and come before the others; with ``strict`` a failed guard
+    fails the job.
     """
-    names = entities.select("doc_id", "ent", "type", F.posexplode(by_length(F.col("names"))).alias("k", "name"))
-    lists = names.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ent", "k", "name", "type"))).alias("names"))
-    wanted = docs.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", F.posexplode("names").alias("n", "wanted"))
-    wanted = wanted.select("doc_id", "text", "n", F.col("wanted.ent").alias("ent"), F.col("wanted.name").alias("name"), F.col("wanted.type").alias("type"))
-    wanted = wanted.withColumn("pattern", spans.surface(F.col("name"), F.when(F.col("type").isin(*P.PERSON), P.GENITIVE).otherwise("")))
-    found = F.filter(
-        spans.find(F.col("text"), F.col("pattern")),
-        lambda s: (F.col("type") != "birth_date") | T.matches(F.substring(F.col("text"), F.greatest(s["start"] - 40, F.lit(0)) + 1, s["end"] + 40 - F.greatest(s["start"] - 40, F.lit(0))), P.BIRTH_CUE),
-    )
-    hits = wanted.select("doc_id", "n", "ent", F.posexplode(found).alias("k", "s"))
-    order = Window.partitionBy("doc_id").orderBy("n", "k")
-    return hits.select("doc_id", "ent", F.row_number().over(order).alias("seq"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-
-
-def authority_addresses(docs: DataFrame, entities: DataFrame, hits: DataFrame) -> DataFrame:
-    """doc_id, ent of the addresses of which every occurrence follows, within 150 characters and the same paragraph, a body
-    that the pack keeps: an as-of join on the end of the nearest name before."""
-    typed = hits.join(entities.select("doc_id", "ent", "type", "action"), ["doc_id", "ent"])
-    asked = typed.where("type = 'address'").select("doc_id", F.col("ent").alias("address"), F.col("seq").alias("at"), F.col("start").alias("begin"))
-    named = typed.where("type <> 'address'")
-    near = asked.join(named, "doc_id").where((F.col("end") <= F.col("begin")) & (F.col("begin") - F.col("end") <= 150))
-    between = F.substring(F.col("text"), F.col("end") + 1, F.col("begin") - F.col("end"))
-    near = near.join(docs.select("doc_id", "text"), "doc_id").where(~F.contains(between, F.lit("\n\n")))
-    body = F.col("type").isin(*P.AUTHORITY) & (F.col("action") == "keep")
-    owner = near.groupBy("doc_id", "address", "at").agg(F.max_by(body, F.struct("end", "seq")).alias("kept"))
-    judged = asked.join(owner, ["doc_id", "address", "at"], "left").groupBy("doc_id", "address").agg(F.min(F.coalesce("kept", F.lit(False))).alias("all"))
-    return judged.where("all").select("doc_id", F.col("address").alias("ent"))
-
-
-def decide(docs: DataFrame, mentions: DataFrame, pack: dict) -> tuple[DataFrame, DataFrame]:
-    """Entities with action, first, count and label, and the chosen spans (doc_id, edits).
+    used = Pack(pack)
+    parts = [f for _, f in wanted.values()]
+
+    def run(doc_id: str | None, text: str | None, legal_area: str | None, mentions: list[tuple] | None, *values: Any) -> tuple:
+        if patterns:
+            found = [(k, x[2], x[3], "") for k, x in enumerate(D.identifiers(text))]
+            mentions = found + [(seq + STEP, *rest) for seq, *rest in mentions or ()]
+        r = Redaction(text, legal_area, mentions, used)
+        if strict and not r.guard_ok:
+            raise ValueError(f"text changed outside the edits of document {doc_id}")
+        return tuple(f(r, *values) for f in parts)
+
+    shape = ",".join(f"{name}:{kind}" for name, (kind, _) in wanted.items())
+    found = R.column(run, f"struct<{shape}>")(F.col("doc_id").cast("string"), "text", F.col("legal_area").cast("string"), resolve.as_mentions(F.col("mentions")), *more)
+    return rows.withColumn("__redaction", found).select(*rows.columns, "__redaction.*").drop("mentions")
 
-    ``docs`` has doc_id, text and legal_area (null where unknown).
-    """
-    social = docs.select("doc_id", T.is_social_insurance(F.col("text"), F.col("legal_area")).alias("social"))
-    # Written once and read several times below, instead of being computed again for each use.
-    ents = materialize(resolve_entities(mentions, social, pack), "entities")
-    hits = materialize(occurrences(docs, ents), "occurrences")
-    kept = authority_addresses(docs, ents, hits).withColumn("body", F.lit(True))
-    ents = ents.join(kept, ["doc_id", "ent"], "left").withColumn("type", F.when(F.col("body"), "authority_address").otherwise(F.col("type"))).drop("body")
-    ents = apply_rules(ents, pack)
-    counts = hits.groupBy("doc_id", "ent").agg(F.min("start").alias("first"), F.count("*").alias("count"))
-    lengths = docs.select("doc_id", F.char_length("text").alias("length"))
-    ents = ents.join(counts, ["doc_id", "ent"], "left").join(lengths, "doc_id")
-    ents = ents.withColumn("first", F.coalesce("first", "length")).withColumn("count", F.coalesce("count", F.lit(0))).drop("length")
-    changed = hits.join(ents.where("action <> 'keep'").select("doc_id", "ent"), ["doc_id", "ent"])
-    lists = changed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "seq", "ent")).alias("spans"))
-    chosen = lists.select("doc_id", spans.greedy(F.col("spans").cast(f"array<{SPAN}>"), SPAN).alias("chosen"))
-    chosen = materialize(chosen, "chosen")
-    return materialize(_labelled(ents, chosen, pack), "labelled"), chosen
-
-
-def _labelled(ents: DataFrame, chosen: DataFrame, pack: dict) -> DataFrame:
-    """Placeholders by first occurrence, places and others in sequences of their own; removal marks."""
-    edited = chosen.select("doc_id", F.explode("chosen").alias("s")).select("doc_id", F.col("s.ent").alias("ent")).distinct().withColumn("edited", F.lit(True))
-    ents = ents.join(edited, ["doc_id", "ent"], "left")
-    used = (F.col("action") == "pseudonymize") & F.col("edited").isNotNull()
-    place = F.col("type").isin(*P.PLACE)
-    turn = F.row_number().over(Window.partitionBy("doc_id", used, place).orderBy("first", "ent"))
-    people = F.array(*map(F.lit, letters(pack["person_letters"], "")))
-    places = F.array(*map(F.lit, letters(pack["place_letters"], pack["person_letters"])))
-    letter = F.when(place, F.get(places, turn - 1)).otherwise(F.get(people, turn - 1))
-    label = F.when(used, F.replace(F.lit(pack["placeholder"]), F.lit("{letter}"), letter)).when(F.col("action") == "remove", pack["removed"]).otherwise("")
-    return ents.withColumn("label", label).drop("edited")
-
-
-def apply(docs: DataFrame, ents: DataFrame, chosen: DataFrame, strict: bool = False) -> DataFrame:
-    """doc_id, text, output, edits and guard_ok of every document; with ``strict`` a failed guard fails the job."""
-    labels = ents.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("ent", F.struct("label", "type", "action", "basis")))).alias("by_ent"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id", "left").join(labels, "doc_id", "left")
-
-    def edit(s: Column) -> Column:
-        e = F.element_at("by_ent", s["ent"])
-        # A label's own point is left out before a full stop.
-        point = F.endswith(e["label"], F.lit(".")) & (T.after(F.col("text"), s["end"], 1) == ".")
-        shown = F.when(point, F.substring(e["label"], F.lit(1), F.char_length(e["label"]) - 1)).otherwise(e["label"])
-        original = F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), original.alias("original"), shown.alias("replacement"),
-            s["ent"].alias("entity"), e["type"].alias("type"), e["action"].alias("action"), e["basis"].alias("basis"),
-        )
-
-    edits = F.coalesce(F.transform("chosen", edit), F.array().cast(f"array<{EDIT}>"))
-    rows = rows.withColumn("edits", edits).withColumn("output", spans.splice(F.col("text"), F.col("edits")))
-    ok = spans.untouched(F.col("text"), F.col("output"), F.col("edits"))
-    if strict:
-        ok = F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("text changed outside the edits of document "), F.col("doc_id").cast("string"))).cast("boolean"))
-    return rows.select("doc_id", "text", "output", "edits", ok.alias("guard_ok"))
+
+def entity_rows(decided: DataFrame) -> DataFrame:
+    """doc_id, ent, type, names, roles, social, action, basis, why, first, count, label of decided documents."""
+    return decided.select("doc_id", F.inline("entities"))
 
 
 def kept_spans(docs: DataFrame, ents: DataFrame, applied: DataFrame) -> DataFrame:
     """doc_id, kept: where kept names occur outside every edit, first entities first."""
-    keeping = ents.where("action = 'keep'")
-    hits = occurrences(docs, keeping)
-    lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "seq", "ent")).alias("spans"))
-    rows = applied.select("doc_id", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("taken"))
-    return rows.join(lists, "doc_id").select("doc_id", spans.first_come(F.col("spans").cast(f"array<{SPAN}>"), F.col("taken"), SPAN).alias("kept"))
+    keeping = ents.where("action = 'keep'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ent", "type", "names"))).alias("keeping"))
+    rows = docs.select("doc_id", "text").join(keeping, "doc_id").join(applied.select("doc_id", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("taken")), "doc_id")
+    kept = R.column(lambda text, keeping, taken: D.first_come(occurrences(text, keeping), taken or ()), f"array<{SPAN}>")
+    return rows.select("doc_id", kept("text", "keeping", "taken").alias("kept")).where(F.size("kept") > 0)
 
 
 def summary(ents: DataFrame, applied: DataFrame, kept: DataFrame) -> DataFrame:
@@ -139,7 +216,16 @@ def summary(ents: DataFrame, applied: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
+def with_mentions(docs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Documents with the array of their mentions, null where there are none."""
+    return docs.join(resolve.mention_lists(mentions), "doc_id", "left")
+
+
 def redact(docs: DataFrame, mentions: DataFrame, pack: dict, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Entities and applied documents."""
-    ents, chosen = decide(docs, mentions, pack)
-    return ents, materialize(apply(docs, ents, chosen, strict), "applied")
+    """Entities and applied documents (doc_id, text, output, edits, guard_ok).
+
+    ``docs`` has doc_id, text and legal_area (null where unknown).
+    """
+    rows = with_mentions(docs.select("doc_id", "text", "legal_area"), mentions)
+    decided = materialize(decide(rows, pack, OUTPUT | EDITS | GUARD | ENTITIES, strict=strict), "decided")  # read twice
+    return entity_rows(decided), decided.select("doc_id", "text", "output", "edits", "guard_ok")

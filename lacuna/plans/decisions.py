@@ -6,10 +6,14 @@ instead (None: it stays).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a part: at ten mentions a row its tables take some 100 MB.
+PART_ROWS = 50_000
+
+
 def _pick(values: str, number: str, n: int) -> str:
     return f"split_part('{values}', ',', CAST({number} % {n} AS INT) + 1)"
 
@@ -95,22 +99,39 @@ def base_sql() -> str:
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
-    # A few numbers make a long text that is costly to read: the rows are spread before they grow, by the key of all that follows.
-    rows = orders.join(customers, orders.o_custkey == customers.c_custkey).repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
-    return rows.selectExpr("CAST(o_orderkey AS STRING) AS doc_id", *(f"{e} AS {n}" for n, e in PARTS.items()))
+    rows = orders.join(customers, orders.o_custkey == customers.c_custkey).selectExpr("CAST(o_orderkey AS STRING) AS doc_id", "o_orderkey", "o_custkey")
+    return spread(rows, orders).selectExpr("doc_id", *(f"{e} AS {n}" for n, e in PARTS.items()))
+
+
+def spread(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rows by doc_id, in parts of about ``PART_ROWS`` rows of the table that is counted.
+
+    A few numbers make a long text that is costly to read: the rows are spread before they grow, by the key of all that
+    follows, which then needs no shuffle of its own; and the parts stay as small when the tables grow.
+    """
+    parts = -(-counted.count() // PART_ROWS)
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, parts), "doc_id")
+
 
+def documents(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.selectExpr("doc_id", f"{text_sql()} AS text", "CAST(NULL AS STRING) AS legal_area", *more)
 
-def documents(rows: DataFrame) -> DataFrame:
-    return rows.selectExpr("doc_id", f"{text_sql()} AS text", "CAST(NULL AS STRING) AS legal_area")
+
+LABELLED = "array<struct<seq:bigint,text:string,type:string,role:string,source:string>>"
+
+
+def labelled() -> Column:
+    """The labelled mentions of a decision, in order, as an array."""
+    spots = [F.struct(F.lit(k).cast("long").alias("seq"), F.expr(e).alias("text"), F.lit(t).alias("type"), F.lit(r).alias("role"), F.lit("labeler").alias("source")) for k, (e, t, r) in enumerate(MENTIONS)]
+    return F.array(*spots)
 
 
 def labels(rows: DataFrame) -> DataFrame:
     """The labelled mentions of every decision, in order."""
-    spots = [F.struct(F.lit(k).cast("long").alias("seq"), F.expr(e).alias("text"), F.lit(t).alias("type"), F.lit(r).alias("role"), F.lit("labeler").alias("source")) for k, (e, t, r) in enumerate(MENTIONS)]
-    return rows.select("doc_id", F.inline(F.array(*spots)))
+    return rows.select("doc_id", F.inline(labelled()))
 
 
-def cases(rows: DataFrame) -> DataFrame:
+def cases(rows: DataFrame, *more: str) -> DataFrame:
     """Benchmark cases with gold spans at the pieces' places and the official's and lawyer's names to keep."""
     at, gold = "0", []
     for e, kind, entity, *_ in PIECES:
@@ -118,4 +139,4 @@ def cases(rows: DataFrame) -> DataFrame:
             gold.append(f"named_struct('start', {at}, 'end', {at} + char_length({e}), 'text', {e}, 'entity', '{entity}', 'kind', '{kind}')")
         at = f"{at} + char_length({e})"
     keep = ", ".join(f"named_struct('text', {n}, 'kind', '{k}', 'count', 1)" for n, k in (("judge", "court_official"), ("clerk", "court_official"), ("lawyer", "lawyer")))
-    return rows.selectExpr("doc_id AS id", "'de' AS language", f"{text_sql()} AS text", f"array({', '.join(gold)}) AS gold", f"array({keep}) AS keep")
+    return rows.selectExpr("doc_id AS id", "'de' AS language", f"{text_sql()} AS text", f"array({', '.join(gold)}) AS gold", f"array({keep}) AS keep", *more)
