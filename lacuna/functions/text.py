@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import document, rows
 from . import patterns as P
 
 
@@ -64,18 +65,9 @@ def guess_language(text: Column) -> Column:
 
 def plausible(surface: Column, type_: Column) -> Column:
     """Whether a surface can be a name or number of its type: no role noun, citation or docket."""
-    named = matches(surface, P.NAME_WORD) & ~matches(surface, P.ROLE_NOUN) & ~matches(surface, r"_\d|\d/\d")
-    digits = F.char_length(F.regexp_replace(surface, r"\P{Nd}", ""))
-    return F.when(type_.isin(*P.NAMED), named).when(type_ == "identifier", (digits >= 6) & ~matches(surface, P.CITATION)).otherwise(True)
+    return rows.column(document.plausible, "boolean")(surface, type_)
 
 
 def typed(type_: Column, role: Column, mention: Column) -> Column:
     """The type that a labelled role and the words of the mention say it must have."""
-    role = F.replace(role, F.lit("_"), F.lit(" "))
-    person = type_.isin(*P.PERSON)
-    return (
-        F.when(person & matches(mention, P.INSTITUTION), "authority")
-        .when(person & matches(role, P.OFFICIAL_ROLE), "court_official")
-        .when((type_ == "private_person") & matches(role, P.LAWYER_ROLE), "lawyer")
-        .otherwise(type_)
-    )
+    return rows.column(document.typed, "string")(type_, role, mention)

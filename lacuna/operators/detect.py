@@ -36,22 +36,26 @@ def detector_counts(docs: DataFrame) -> DataFrame:
 def verified(raw: Column, type_: Column, text: Column) -> Column:
     """The surfaces of a labelled mention that occur in the text: the people of a list if all occur, else the whole, else
     the parts that do."""
-    whole = T.clean(raw)
-    parts = F.filter(F.transform(F.split(raw, P.java(P.SPLIT), -1), T.clean), lambda p: (F.char_length(p) > 1) & T.plausible(p, type_))
-    found = F.filter(parts, lambda p: spans.occurs(text, p))
-    people = type_.isin(*P.PERSON) & (F.size(parts) > 1) & (F.size(found) == F.size(parts))
-    one = (F.char_length(whole) > 1) & T.plausible(whole, type_) & spans.occurs(text, whole)
-    return F.when(people, found).when(one, F.array(whole)).otherwise(F.filter(found, lambda p: p != whole))
+    return rows.column(document.verified, "array<string>")(raw, type_, text)
 
 
 def accept_labels(docs: DataFrame, labels: DataFrame, source: str = "labeler") -> tuple[DataFrame, DataFrame]:
     """Labelled items (doc_id, seq, mention, role, type) as mentions whose types are corrected and whose surfaces occur in
     the text, and the rejected items (doc_id, seq, mention)."""
-    items = labels.join(docs.select("doc_id", "text"), "doc_id")
-    items = items.withColumn("type", T.typed(F.col("type"), F.col("role"), F.col("mention")))
-    items = items.withColumn("found", verified(F.col("mention"), F.col("type"), F.col("text"))).drop("text")
+
+    def accept(text: str | None, items: list[tuple]) -> list[tuple]:
+        out = []
+        for seq, mention, role, kind in items:
+            kind = document.typed(kind, role, mention)
+            out.append((seq, mention, document.squeeze(role), kind, document.verified(mention, kind, text)))
+        return out
+
+    lists = labels.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "mention", "role", "type")).alias("items"))
+    seq = labels.schema["seq"].dataType.simpleString()
+    found = rows.column(accept, f"array<struct<seq:{seq},mention:string,role:string,type:string,found:array<string>>>")
+    items = docs.select("doc_id", "text").join(lists, "doc_id").select("doc_id", F.inline(found("text", "items")))
     kept = items.select("doc_id", "seq", F.posexplode("found").alias("k", "surface"), "type", "role")
-    mentions = kept.select("doc_id", (F.col("seq") * 1000 + F.col("k")).alias("seq"), F.col("surface").alias("text"), "type", T.squeeze(F.col("role")).alias("role"), F.lit(source).alias("source"))
+    mentions = kept.select("doc_id", (F.col("seq") * 1000 + F.col("k")).alias("seq"), F.col("surface").alias("text"), "type", "role", F.lit(source).alias("source"))
     return mentions, items.where(F.size("found") == 0).select("doc_id", "seq", "mention")
 
 

@@ -134,14 +134,19 @@ class Redaction:
         return None if self.text is None else D.untouched(self.text, self.output, self.written)
 
     @cached_property
-    def kept(self) -> list[tuple]:
-        """Where kept names occur outside every edit, first entities first."""
+    def kept(self) -> list[tuple] | None:
+        """Where kept names occur outside every edit, first entities first; None where they don't occur at all."""
         keeping = {e[0] for e in self._found if e[ACTION] == "keep"}
-        return D.first_come((h for h in self.hits if h[3] in keeping), ((e[0], e[1]) for e in self.edits))
+        hits = [h for h in self.hits if h[3] in keeping]
+        return _kept([(start, end, k, ent) for k, (start, end, _, ent) in enumerate(hits, 1)], [e[:2] for e in self.edits])
 
     @property
     def summary(self) -> list[tuple]:
-        return summarized(self.entities, self.edits, self.kept)
+        return summarized(self.entities, self.edits, self.kept or [])
+
+
+def _kept(hits: list[tuple], taken: list[tuple[int, int]] | None) -> list[tuple] | None:
+    return D.first_come(hits, taken or ()) if hits else None
 
 
 def summarized(entities: list[tuple], edits: list[tuple], kept: list[tuple]) -> list[tuple]:
@@ -197,9 +202,10 @@ def entity_rows(decided: DataFrame) -> DataFrame:
 def kept_spans(docs: DataFrame, ents: DataFrame, applied: DataFrame) -> DataFrame:
     """doc_id, kept: where kept names occur outside every edit, first entities first."""
     keeping = ents.where("action = 'keep'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ent", "type", "names"))).alias("keeping"))
-    rows = docs.select("doc_id", "text").join(keeping, "doc_id").join(applied.select("doc_id", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("taken")), "doc_id")
-    kept = R.column(lambda text, keeping, taken: D.first_come(occurrences(text, keeping), taken or ()), f"array<{SPAN}>")
-    return rows.select("doc_id", kept("text", "keeping", "taken").alias("kept")).where(F.size("kept") > 0)
+    taken = applied.select("doc_id", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("taken"))
+    rows = docs.select("doc_id", "text").join(keeping, "doc_id").join(taken, "doc_id")
+    kept = R.column(lambda text, keeping, taken: _kept(occurrences(text, keeping), taken), f"array<{SPAN}>")
+    return rows.select("doc_id", kept("text", "keeping", "taken").alias("kept")).where("kept is not null")
 
 
 def summary(ents: DataFrame, applied: DataFrame, kept: DataFrame) -> DataFrame:

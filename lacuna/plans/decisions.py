@@ -103,14 +103,14 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(rows, orders).selectExpr("doc_id", *(f"{e} AS {n}" for n, e in PARTS.items()))
 
 
-def spread(rows: DataFrame, counted: DataFrame) -> DataFrame:
-    """Rows by doc_id, in parts of about ``PART_ROWS`` rows of the table that is counted.
+def spread(rows: DataFrame, counted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows by their key, in parts of about ``PART_ROWS`` rows of the table that is counted.
 
     A few numbers make a long text that is costly to read: the rows are spread before they grow, by the key of all that
     follows, which then needs no shuffle of its own; and the parts stay as small when the tables grow.
     """
     parts = -(-counted.count() // PART_ROWS)
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, parts), "doc_id")
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, parts), key)
 
 
 def documents(rows: DataFrame, *more: str) -> DataFrame:

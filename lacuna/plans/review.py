@@ -30,7 +30,7 @@ def review_rows(rows: DataFrame, pack: str = "bger-2020", patterns: bool = False
     rules = load_pack(pack)
     more = ("reader",) if "reader" in rows.columns else ()
     wanted: redact.Wanted = redact.OUTPUT | redact.EDITS | redact.KEPT | redact.GUARD | {
-        "entities": (f"array<{redact.SUMMARY}>", lambda r, *_: r.summary),
+        "entities": (f"array<{redact.SUMMARY}>", lambda r, *_: r.summary or None),
         "risks": (f"array<{RISK}>", _risks),
         "language": ("string", lambda r, *_: document.language(r.text)),
         "social_insurance": ("boolean", lambda r, area, *_: document.social_insurance(r.text, area)),

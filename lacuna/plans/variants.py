@@ -30,7 +30,9 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, o (the order's number), the names a, b and j, and text."""
-    rows = _orders(spark, sf_dir).selectExpr("CAST(o_orderkey AS STRING) AS doc_id", "o_orderkey AS o", f"{_A} AS a", f"{_B} AS b", f"{_J} AS j")
+    orders = _orders(spark, sf_dir)
+    rows = D.spread(orders.selectExpr("CAST(o_orderkey AS STRING) AS doc_id", "o_orderkey", "o_custkey"), orders)
+    rows = rows.selectExpr("doc_id", "o_orderkey AS o", f"{_A} AS a", f"{_B} AS b", f"{_J} AS j")
     return rows.selectExpr("*", f"{TEXT} AS text")
 
 
@@ -175,8 +177,10 @@ def jsonl_gzip_round_trip(spark, sf_dir):
 def results_scan(spark, sf_dir):
     """Of several rows with one id in a file the last stays; rows without an id go."""
     path = _path(spark, "results")
-    rows = _orders(spark, sf_dir).selectExpr("CASE WHEN o_orderkey % 10 <> 9 THEN CAST(o_orderkey AS STRING) END AS id", "explode(sequence(1, CAST(o_orderkey % 3 AS INT) + 1)) AS version")
-    files.append_results(rows.coalesce(1).sortWithinPartitions("version"), path)
+    orders = _orders(spark, sf_dir).select("o_orderkey")
+    # The rows of an order stand in one file, in their order; no file has all rows.
+    rows = D.spread(orders, orders, "o_orderkey").selectExpr("CASE WHEN o_orderkey % 10 <> 9 THEN CAST(o_orderkey AS STRING) END AS id", "explode(sequence(1, CAST(o_orderkey % 3 AS INT) + 1)) AS version")
+    files.append_results(rows.sortWithinPartitions("version"), path)
     return files.read_results(spark, path, "id string, version int")
 
 

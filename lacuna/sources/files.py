@@ -17,6 +17,8 @@ SOURCE = (
     "decision_id string, court string, language string, docket_number string, decision_date string, legal_area string, "
     f"source_url string, full_text string, provenance {PROVENANCE}"
 )
+#: Bytes of result files whose rows one task sorts.
+PART_BYTES = 16 * 2**20
 
 
 def _stem() -> Column:
@@ -51,6 +53,10 @@ def read_results(spark: SparkSession, path: str, schema: str | StructType) -> Da
     rows = spark.read.schema(schema).json(path)
     names = rows.columns
     rows = rows.select(*names, F.struct(*map(F.col, place), F.monotonically_increasing_id()).alias("__place")).where("id is not null")
+    # As many parts as the files ask for: each is sorted by one task.
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if (parts := size // PART_BYTES) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(parts, "id")
     last = Window.partitionBy("id").orderBy(F.desc("__place"))
     return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").select(*names)
 

@@ -2,6 +2,7 @@
 shuffled on the way."""
 
 import os
+import random
 import re
 import sys
 
@@ -16,6 +17,8 @@ from lacuna.session import shared_dir  # noqa: E402
 #: Queries and the shuffles of their plans: the rows are spread by doc_id, and some are counted afterwards.
 SHUFFLES = {
     "redact_bger": 1,
+    "generate_cases": 1,
+    # others
 }
 
 
@@ -36,3 +39,24 @@ def test_a_decision_is_dealt_with_in_one_row(spark, tables, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"(?<!Broadcast)Exchange (?:hash|Single)", plan)) <= SHUFFLES[name], plan
     assert df.count() > 0 and set(os.listdir(folder)) == before
+
+
+def test_patterns_are_found_where_they_can_match_and_nowhere_else():
+    parts = (
+        "756.1234.5678.90", "CH10 0023 0023 0023 4567 8", "a.b@c.d-e.ch", "@x@y.z.ch", "+41 78 902 13 31", "0041 (0)78 9021331", "079 123 45 67", "Amselgasse 7", "ABweg 1 Cweg 2", "weg",
+        "Mattenweg  14a", ", 4901 Birkenwil", "\n", ", ", "Rue de la Paix 3", "Via Roma 12", "Postfach 12", "Parzelle Nr. 2'345", "Kennzeichen BE 654 321", "0", " ", "str.\t5", "é", "_", "CH-3011 Bern\n",
+    )
+    draw = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 9)))
+        assert document.identifiers(text) == sql.scan(text), text
+
+
+def test_names_are_found_as_by_their_pattern():
+    draw = random.Random(5)
+    for _ in range(10_000):
+        text = "".join(draw.choice(("Ahorner", "s", "’s", "'s", " ", "\n", "A.", "B", "_", "x", "Edda Felber", "é")) for _ in range(draw.randint(1, 8)))
+        for name in ("Ahorner", "A. B", "", "s", "Edda Felber"):
+            for suffix in ("", P.GENITIVE):
+                rx = r"(?<!\w)" + r"\s+".join(map(re.escape, name.split())) + suffix + r"(?!\w)"
+                assert document.find(text, name, bool(suffix)) == [m.span() for m in re.finditer(rx, text)], (text, name)
