@@ -18,6 +18,7 @@ from lacuna.session import shared_dir  # noqa: E402
 SHUFFLES = {
     "redact_bger": 1,
     "generate_cases": 1,
+    "audit_risks": 2,
     # others
 }
 
