@@ -19,6 +19,7 @@ SHUFFLES = {
     "redact_bger": 1,
     "generate_cases": 1,
     "audit_risks": 2,
+    "entity_summary": 2,
     # others
 }
 
