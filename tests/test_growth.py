@@ -20,6 +20,7 @@ SHUFFLES = {
     "generate_cases": 1,
     "audit_risks": 2,
     "entity_summary": 2,
+    "free_form_edits": 2,
     # others
 }
 
