@@ -21,6 +21,7 @@ SHUFFLES = {
     "audit_risks": 2,
     "entity_summary": 2,
     "free_form_edits": 2,
+    "kept_spans": 1,
     # others
 }
 
