@@ -22,6 +22,7 @@ SHUFFLES = {
     "entity_summary": 2,
     "free_form_edits": 2,
     "kept_spans": 1,
+    "placeholder_letters": 1,
     # others
 }
 
