@@ -23,6 +23,7 @@ SHUFFLES = {
     "free_form_edits": 2,
     "kept_spans": 1,
     "placeholder_letters": 1,
+    "redact_zh": 1,
     # others
 }
 
