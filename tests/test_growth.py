@@ -24,6 +24,7 @@ SHUFFLES = {
     "kept_spans": 1,
     "placeholder_letters": 1,
     "redact_zh": 1,
+    "score_cases": 1,
     # others
 }
 
