@@ -25,6 +25,7 @@ SHUFFLES = {
     "placeholder_letters": 1,
     "redact_zh": 1,
     "score_cases": 1,
+    "residence_cue_rule": 2,
     # others
 }
 
