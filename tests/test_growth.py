@@ -26,6 +26,7 @@ SHUFFLES = {
     "redact_zh": 1,
     "score_cases": 1,
     "residence_cue_rule": 2,
+    "review_zh": 1,
     # others
 }
 
