@@ -27,6 +27,7 @@ SHUFFLES = {
     "score_cases": 1,
     "residence_cue_rule": 2,
     "review_zh": 1,
+    "score_rollup": 3,
     # others
 }
 
