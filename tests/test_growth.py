@@ -28,6 +28,7 @@ SHUFFLES = {
     "residence_cue_rule": 2,
     "review_zh": 1,
     "score_rollup": 3,
+    "screen_quotes": 1,
     # others
 }
 
