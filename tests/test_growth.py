@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__  # noqa: E402
 from lacuna.functions import document, patterns as P, sql  # noqa: E402
+from lacuna.plans import decisions  # noqa: E402
 from lacuna.session import shared_dir  # noqa: E402
+from lacuna.sources import files  # noqa: E402
 
 #: Queries and the shuffles of their plans: the rows are spread by doc_id, and some are counted afterwards.
 SHUFFLES = {
@@ -29,6 +31,7 @@ SHUFFLES = {
     "review_zh": 1,
     "score_rollup": 3,
     "screen_quotes": 1,
+    "labeler_recorded": 3,
     # others
 }
 
