@@ -32,6 +32,7 @@ SHUFFLES = {
     "score_rollup": 3,
     "screen_quotes": 1,
     "labeler_recorded": 3,
+    "detect_patterns": 1,
     # others
 }
 
