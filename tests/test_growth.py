@@ -33,6 +33,7 @@ SHUFFLES = {
     "screen_quotes": 1,
     "labeler_recorded": 3,
     "detect_patterns": 1,
+    "entities_bger": 1,
     # others
 }
 
