@@ -76,3 +76,11 @@ def test_names_are_found_as_by_their_pattern():
             for suffix in ("", P.GENITIVE):
                 rx = r"(?<!\w)" + r"\s+".join(map(re.escape, name.split())) + suffix + r"(?!\w)"
                 assert document.find(text, name, bool(suffix)) == [m.span() for m in re.finditer(rx, text)], (text, name)
+
+
+
+def test_results_are_in_many_files_and_parts(spark, tables, monkeypatch):
+    monkeypatch.setattr(files, "PART_BYTES", 100)
+    df = __spark_entry__.queries()["results_scan"](spark, tables)
+    assert len(df.inputFiles()) > 1 and df.rdd.getNumPartitions() > 4
+    assert sorted(map(tuple, df.collect())) == sorted((str(k), k % 3 + 1) for k in range(60) if k % 10 != 9)
