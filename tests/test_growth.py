@@ -34,6 +34,7 @@ SHUFFLES = {
     "labeler_recorded": 3,
     "detect_patterns": 1,
     "entities_bger": 1,
+    "classify_placeholders": 1,
     # others
 }
 
