@@ -35,6 +35,7 @@ SHUFFLES = {
     "detect_patterns": 1,
     "entities_bger": 1,
     "classify_placeholders": 1,
+    "resolve_types": 1,
     "reader_quotes": 5,
     # others
 }
