@@ -36,6 +36,7 @@ SHUFFLES = {
     "entities_bger": 1,
     "classify_placeholders": 1,
     "resolve_types": 1,
+    "keep_names": 1,
     "reader_quotes": 5,
     # others
 }
