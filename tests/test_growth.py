@@ -37,6 +37,7 @@ SHUFFLES = {
     "classify_placeholders": 1,
     "resolve_types": 1,
     "keep_names": 1,
+    "type_votes": 1,
     "reader_quotes": 5,
     # others
 }
@@ -82,6 +83,13 @@ def test_names_are_found_as_by_their_pattern():
                 assert document.find(text, name, bool(suffix)) == [m.span() for m in re.finditer(rx, text)], (text, name)
 
 
+def test_parts_grow_with_the_orders(spark, tables, monkeypatch):
+    monkeypatch.setattr(decisions, "PART_ROWS", 5)
+    assert __spark_entry__.queries()["type_votes"](spark, tables).rdd.getNumPartitions() >= 12
+    monkeypatch.setattr(decisions, "PART_ROWS", 1000)
+    assert __spark_entry__.queries()["type_votes"](spark, tables).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 
 def test_results_are_in_many_files_and_parts(spark, tables, monkeypatch):
     monkeypatch.setattr(files, "PART_BYTES", 100)
