@@ -38,6 +38,7 @@ SHUFFLES = {
     "resolve_types": 1,
     "keep_names": 1,
     "type_votes": 1,
+    "audit_case_numbers": 1,
     "reader_quotes": 5,
     # others
 }
