@@ -39,6 +39,7 @@ SHUFFLES = {
     "keep_names": 1,
     "type_votes": 1,
     "audit_case_numbers": 1,
+    "score_variants": 2,
     "reader_quotes": 5,
     # others
 }
